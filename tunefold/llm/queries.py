@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunefold.llm import vector_neighbors
+from tunefold.llm import cooccurrence, term_stats, vector_neighbors
 
 DIM = 512
 
@@ -14,6 +14,15 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of songs that share at least ten playlists, with their lift."""
+    return cooccurrence.pair_counts(_read(spark, sf_dir, "gen_playlist_song"), "playlist_id", "song_id", 10)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cooccurrence.found(p2_pairs(spark, sf_dir), 5)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_neighbors.pairs(p3_neighbors(spark, sf_dir))
 
@@ -22,6 +31,57 @@ def p3_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_neighbors.neighbors(_read(spark, sf_dir, "song_vectors"), "song_id", "v", DIM)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_neighbors)}
+def p6_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences, playlists and mark of every song of the corpus."""
+    corpus = _read(spark, sf_dir, "playlists_corpus")
+    playlists = corpus.agg(F.count_distinct("playlist_id").alias("n")).first()["n"]
+    counts = term_stats.marked(term_stats.ngram_counts(corpus, ["playlist_id"], "songs", 1), playlists)
+    return counts.select(F.col("gram").alias("song_id"), "occurrences", F.col("records").alias("playlists"), "mark")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_terms(spark, sf_dir).where("mark IS NOT NULL").select("song_id", "mark")
+
+
+def p6_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of up to three songs that occur at least ten times."""
+    counts = term_stats.ngram_counts(_read(spark, sf_dir, "playlists_corpus"), ["playlist_id"], "songs", 3).where("occurrences >= 10")
+    return counts.select(F.translate("gram", term_stats.SEP, " ").alias("gram"), "len", "occurrences", F.col("records").alias("playlists"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_neighbors, p6_found, p6_terms, p6_runs)}
+
+_P2 = r"""
+    WITH r AS (SELECT DISTINCT playlist_id AS p, regexp_replace(song_id, '^\s+|\s+$', '', 'g') AS s
+               FROM gen_playlist_song WHERE song_id IS NOT NULL AND playlist_id IS NOT NULL),
+         f AS (SELECT * FROM r WHERE s <> ''),
+         c AS (SELECT s, count(*) AS n FROM f GROUP BY s),
+         k AS (SELECT count(DISTINCT p) AS n FROM f),
+         x AS (SELECT a.s AS item_a, b.s AS item_b, count(*) AS n FROM f a JOIN f b ON a.p = b.p AND a.s < b.s GROUP BY 1, 2 HAVING count(*) >= 10),
+         y AS (SELECT item_a, item_b, x.n AS n, ca.n AS n_a, cb.n AS n_b, k.n AS baskets, x.n * k.n / (ca.n * cb.n) AS lift
+               FROM x JOIN c ca ON ca.s = item_a JOIN c cb ON cb.s = item_b, k)"""
+
+_P6 = r"""
+    WITH r AS (SELECT DISTINCT playlist_id, songs FROM playlists_corpus),
+         q AS (SELECT row_number() OVER () AS rid, songs FROM r),
+         e AS (SELECT rid, pos, regexp_replace(songs[pos], '^\s+|\s+$', '', 'g') AS s FROM (SELECT rid, songs, unnest(generate_series(1, len(songs))) AS pos FROM q)),
+         t AS (SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY pos) AS pos, s FROM e WHERE s <> '')"""
 
-SQL: dict[str, str] = {}
+SQL = {
+    "p2_pairs": _P2 + " SELECT * FROM y",
+    "p2_found": _P2 + " SELECT item_a AS song_a, item_b AS song_b FROM y WHERE n * baskets >= 5 * n_a * n_b",
+    "p6_terms": _P6
+    + """ SELECT s AS song_id, count(*) AS occurrences, count(DISTINCT rid) AS playlists,
+          CASE WHEN count(*) < 10 THEN 'rare' WHEN count(DISTINCT rid) > 0.25 * (SELECT count(DISTINCT playlist_id) FROM playlists_corpus) THEN 'common' END AS mark
+          FROM t GROUP BY s""",
+    "p6_found": _P6
+    + """ SELECT * FROM (SELECT s AS song_id, CASE WHEN count(*) < 10 THEN 'rare'
+          WHEN count(DISTINCT rid) > 0.25 * (SELECT count(DISTINCT playlist_id) FROM playlists_corpus) THEN 'common' END AS mark
+          FROM t GROUP BY s) WHERE mark IS NOT NULL""",
+    "p6_runs": _P6
+    + """, g AS (SELECT rid, s AS gram, 1 AS len FROM t
+                 UNION ALL SELECT a.rid, a.s || ' ' || b.s, 2 FROM t a JOIN t b ON a.rid = b.rid AND b.pos = a.pos + 1
+                 UNION ALL SELECT a.rid, a.s || ' ' || b.s || ' ' || c.s, 3 FROM t a JOIN t b ON a.rid = b.rid AND b.pos = a.pos + 1
+                           JOIN t c ON a.rid = c.rid AND c.pos = a.pos + 2)
+          SELECT gram, len, count(*) AS occurrences, count(DISTINCT rid) AS playlists FROM g GROUP BY gram, len HAVING count(*) >= 10""",
+}
