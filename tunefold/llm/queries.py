@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunefold.llm import cooccurrence, term_stats, vector_neighbors
+from tunefold.llm import cooccurrence, lookalikes, term_stats, vector_neighbors
 
 DIM = 512
 
@@ -49,7 +49,17 @@ def p6_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.translate("gram", term_stats.SEP, " ").alias("gram"), "len", "occurrences", F.col("records").alias("playlists"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_neighbors, p6_found, p6_terms, p6_runs)}
+def p7_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every title and query with its consistent form."""
+    infos, votes = _read(spark, sf_dir, "gen_playlist_info"), _read(spark, sf_dir, "query_vote")
+    return lookalikes.consistent([("gen_playlist_info", infos, "row_id", "listname"), ("query_vote", votes, "row_id", "query")])
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_forms(spark, sf_dir).where("value <> form").select("tbl", "row_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_neighbors, p6_found, p6_terms, p6_runs, p7_found, p7_forms)}
 
 _P2 = r"""
     WITH r AS (SELECT DISTINCT playlist_id AS p, regexp_replace(song_id, '^\s+|\s+$', '', 'g') AS s
