@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunefold.llm import cooccurrence, lookalikes, term_stats, vector_neighbors
+from tunefold.llm import cooccurrence, lookalikes, split_overlap, term_stats, vector_neighbors
 
 DIM = 512
 
@@ -31,6 +31,20 @@ def p3_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_neighbors.neighbors(_read(spark, sf_dir, "song_vectors"), "song_id", "v", DIM)
 
 
+def p5_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train records and the records of other splits that are the same or nearly so."""
+    return split_overlap.overlaps(_read(spark, sf_dir, "generator_corpus"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_overlaps(spark, sf_dir).select(F.least("train_rec", "eval_rec").alias("rec_a"), F.greatest("train_rec", "eval_rec").alias("rec_b"))
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps per evaluation split and source."""
+    return split_overlap.report(p5_overlaps(spark, sf_dir), _read(spark, sf_dir, "generator_corpus"))
+
+
 def p6_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences, playlists and mark of every song of the corpus."""
     corpus = _read(spark, sf_dir, "playlists_corpus")
@@ -59,7 +73,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_forms(spark, sf_dir).where("value <> form").select("tbl", "row_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_neighbors, p6_found, p6_terms, p6_runs, p7_found, p7_forms)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_neighbors, p6_found, p6_terms, p6_runs, p7_found, p7_forms, p5_found, p5_overlaps, p5_report)}
 
 _P2 = r"""
     WITH r AS (SELECT DISTINCT playlist_id AS p, regexp_replace(song_id, '^\s+|\s+$', '', 'g') AS s
