@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunefold.llm import cooccurrence, lookalikes, split_overlap, term_stats, vector_neighbors
+from tunefold.llm import cooccurrence, lookalikes, mojibake, split_overlap, term_stats, vector_neighbors
 
 DIM = 512
 
@@ -73,7 +73,16 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_forms(spark, sf_dir).where("value <> form").select("tbl", "row_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_neighbors, p6_found, p6_terms, p6_runs, p7_found, p7_forms, p5_found, p5_overlaps, p5_report)}
+def p10_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled documents with their restored text and the transformations taken back."""
+    return mojibake.repaired(_read(spark, sf_dir, "documents"), "doc_id", "text").withColumn("used", F.array_join("used", ","))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.repaired(_read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_neighbors, p6_found, p6_terms, p6_runs, p7_found, p7_forms, p5_found, p5_overlaps, p5_report, p10_found, p10_repaired)}
 
 _P2 = r"""
     WITH r AS (SELECT DISTINCT playlist_id AS p, regexp_replace(song_id, '^\s+|\s+$', '', 'g') AS s
