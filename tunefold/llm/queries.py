@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunefold.llm import cooccurrence, lookalikes, mojibake, split_overlap, term_stats, vector_neighbors
+from tunefold.llm import cooccurrence, lookalikes, mixing, mojibake, packing, split_overlap, term_stats, tokens, vector_neighbors
 
 DIM = 512
 
@@ -82,7 +82,30 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repaired(_read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_neighbors, p6_found, p6_terms, p6_runs, p7_found, p7_forms, p5_found, p5_overlaps, p5_report, p10_found, p10_repaired)}
+def _sized(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select("doc_id", *columns, tokens.token_count("text").alias("size"))
+
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every piece of every document, for each capacity."""
+    return packing.pack(_sized(spark, sf_dir), "doc_id", "size", _read(spark, sf_dir, "pack_spec"))
+
+
+def p8_utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.utilisation(p8_packed(spark, sf_dir))
+
+
+def p9_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of every plan and how often each is used."""
+    return mixing.mix(_sized(spark, sf_dir, "source"), "doc_id", "source", "size", _read(spark, sf_dir, "mix_target"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of every plan."""
+    return mixing.mix(_sized(spark, sf_dir, "source"), "doc_id", "source", "size", _read(spark, sf_dir, "mix_target"))[1]
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_neighbors, p6_found, p6_terms, p6_runs, p7_found, p7_forms, p5_found, p5_overlaps, p5_report, p10_found, p10_repaired, p8_packed, p8_utilisation, p9_mixed, p9_shares)}
 
 _P2 = r"""
     WITH r AS (SELECT DISTINCT playlist_id AS p, regexp_replace(song_id, '^\s+|\s+$', '', 'g') AS s
