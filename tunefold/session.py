@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import SparkSession
 
+from tunefold.shipping import ship
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "tunefold", memory: str = "6g") -> SparkSession:
     os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
@@ -21,4 +23,5 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
