@@ -20,6 +20,7 @@ from tunefold import shared
 HEAVY_SHARE = 1 / 64
 LONG_BASKET = 2048
 BLOCK = 16_384
+CHUNK = 2_500_000
 
 
 def _count_blocks(heavy_uri: str, block: int):
@@ -65,33 +66,28 @@ def _count_blocks(heavy_uri: str, block: int):
                     dense[i, i:] += np.bitwise_count(words[i] & words[i:]).sum(1, dtype="i8")
             lowner = np.repeat(np.arange(m), ll)
             # light with heavy: each light item's basket list against the heavy rows of those baskets
-            if h and len(lv):
-                hstart = np.cumsum(hl) - hl
-                times = hl[lowner]
-                total = int(times.sum())
-                if total:
-                    left = np.repeat(lv, times)
-                    inner = np.arange(total) - np.repeat(np.cumsum(times) - times, times)
-                    right = hv[np.repeat(hstart[lowner], times) + inner]
-                    key, n = np.unique((np.minimum(left, right) << 32) | np.maximum(left, right), return_counts=True)
-                    yield from emit(key, n.astype("i8"))
-            # light with light
+            hstart = np.cumsum(hl) - hl
+            yield from counted(lv, hl[lowner], hstart[lowner], hv)
+            # light with light: the items after it in the same basket
             short = ll <= LONG_BASKET
             lstart = np.cumsum(ll) - ll
             place = np.arange(len(lv)) - np.repeat(lstart, ll)
             after = np.where(np.repeat(short, ll), np.repeat(ll, ll) - 1 - place, 0)
-            done = np.cumsum(after)
+            yield from counted(lv, after, np.arange(1, len(lv) + 1), lv)
+
+        def counted(items, times, first, others):
+            """Counts of the pairs of each item with the ``times`` others from ``first`` on, CHUNK pairs at a time."""
+            done = np.cumsum(times)
             lo = 0
-            while lo < len(lv):
+            while lo < len(items):
                 base = done[lo - 1] if lo else 0
-                hi = max(lo + 1, int(np.searchsorted(done, base + 4_000_000, "right")))
-                t_ = after[lo:hi]
-                total = int(t_.sum())
+                hi = max(lo + 1, int(np.searchsorted(done, base + CHUNK, "right")))
+                t = times[lo:hi]
+                total = int(t.sum())
                 if total:
-                    left = np.repeat(lv[lo:hi], t_)
-                    inner = np.arange(total) - np.repeat(np.cumsum(t_) - t_, t_) + 1
-                    right = lv[np.repeat(np.arange(lo, hi), t_) + inner]
-                    key, n = np.unique((left << 32) | right, return_counts=True)
+                    left = np.repeat(items[lo:hi], t)
+                    right = others[np.repeat(first[lo:hi] - np.cumsum(t) + t, t) + np.arange(total)]
+                    key, n = np.unique((np.minimum(left, right) << 32) | np.maximum(left, right), return_counts=True)
                     yield from emit(key, n.astype("i8"))
                 lo = hi
 
