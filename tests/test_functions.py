@@ -9,6 +9,7 @@ from tunefold.config import HierarchyConfig, iteration_limit
 from tunefold.functions import soft_dtw as D
 from tunefold.functions import text as X
 from tunefold.functions import vectors as V
+from tunefold.functions import vocabulary as Y
 from tunefold.operators import clustering as C
 from tunefold.operators.ordering import with_position
 
@@ -131,3 +132,35 @@ def test_position(spark):
     assert [r["v"] for r in df.orderBy("position").collect()] == sorted(values)
     assert {r["position"] for r in df.collect()} == set(range(500))
     assert with_position(spark.createDataFrame([], "v int"), "v").count() == 0
+
+
+def test_vocabulary(spark):
+    assert Y.table(spark).count() == Y.size() == 518
+    text = "<id_l1_0> <id_l2_127> <id_l3_255> <eos>"
+    ids, labels = Y.encode(F.lit(text), 6)
+    row = spark.range(1).select(ids.alias("ids"), labels.alias("labels"), Y.decode(ids).alias("text")).first()
+    assert row["ids"] == [0, 255, 511, 513, 515, 515] and row["labels"] == [0, 255, 511, 513, -100, -100]
+    assert row["text"] == text
+    unknown, _ = Y.encode(F.lit("<id_l1_128> word"), 2)
+    assert spark.range(1).select(unknown.alias("x")).first()["x"] == [514, 514]
+
+
+def test_masked_scores(spark):
+    from tunefold.operators import semantic_ids as S
+
+    ids = spark.createDataFrame([("a", 0, 0, 0), ("b", 0, 2, 1), ("c", 5, 1, 1)], "song_id string, l1 int, l2 int, l3 int")
+    asked = spark.createDataFrame([(1, []), (2, [0]), (3, [0, 0]), (4, [9]), (5, [0, 0, 0])], "key int, prefix array<int>")
+    got = {r["key"]: r["allowed"] for r in S.allowed_next(asked, ids, 2).collect()}
+    assert got == {1: [0, 5], 2: [0, 2], 3: [0], 4: [-1], 5: [0, 1, -1]}
+    scores = F.array(*[F.lit(float(i)) for i in range(3)])
+    assert one(spark, S.masked_scores(scores, F.array(F.lit(0), F.lit(2)))) == [0.0, float("-inf"), 2.0]
+    stats = {(r["level"], r["children"]): r["nodes"] for r in S.trie_stats(ids).collect()}
+    assert stats == {(0, 2): 1, (1, 2): 1, (1, 1): 1, (2, 1): 3, (3, 3): 1}
+
+
+def test_command_line():
+    from tunefold.cli import parser
+
+    a = parser().parse_args(["train", "in", "out", "--mode", "prod", "--no-resume"])
+    assert a.mode == "prod" and not a.resume and not a.clear_checkpoints
+    assert parser().parse_args(["compare", "in", "jazz", "rock"]).keywords == ["jazz", "rock"]

@@ -115,6 +115,16 @@ def soft_dtw_pairs(s, d):
     return q.select("vec_id", F.round(D.distance(F.col("v"), F.col("w")), 6).alias("distance"), F.round(D.distance(F.col("v"), F.col("w"), normalize=True), 6).alias("normalized"))
 
 
+def plane(s, d):
+    """Vectors on their two principal axes, by MLlib."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    p = points(s, d).select("vec_id", array_to_vector("v").alias("x"))
+    out = PCA(k=2, inputCol="x", outputCol="y").fit(p).transform(p).withColumn("y", vector_to_array("y"))
+    return out.select("vec_id", F.col("y")[0].alias("first"), F.col("y")[1].alias("second"))
+
+
 def word_vectors(s, d):
     return K.skip_gram_vectors(P.as_lists(rows(s, d), 10, 300), 16).select("song_id", F.size("v").alias("width"))
 
@@ -137,7 +147,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         *map(_statement, STATEMENTS), hard_negatives, ranker_pairs, random_negative_check, missing_vectors, kmeans_balanced, hierarchy_ids, hierarchy_predict, stream_scoring,
-        residual_quantization, soft_dtw_pairs, word_vectors, generated_candidates, ranker_metrics,
+        residual_quantization, soft_dtw_pairs, plane, word_vectors, generated_candidates, ranker_metrics,
     )
 }
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunefold.functions import text as X
+from tunefold.functions import vocabulary as Y
 from tunefold.operators import evaluation as E
 from tunefold.operators import playlists as P
 
@@ -84,6 +85,18 @@ def truncate_pad(s, d):
     return t.select("playlist_id", F.array_join(X.padded("ids", 128), " ").alias("input_ids"), F.array_join(X.attention_mask("ids", 128), " ").alias("attention_mask"))
 
 
+def token_vocabulary(s, d):
+    return Y.table(s)
+
+
+def tokenized_corpus(s, d):
+    """Fixed-width token ids, mask and labels of every target sequence."""
+    ids, labels = Y.encode(F.col("output_sequence"))
+    t = _t(s, d, "generator_corpus").select("rec_id", ids.alias("ids"), labels.alias("labels"))
+    mask = F.transform("ids", lambda i: (i != Y.special_id("<pad>")).cast("int"))
+    return t.select("rec_id", F.array_join("ids", " ").alias("input_ids"), F.array_join(mask, " ").alias("attention_mask"), F.array_join("labels", " ").alias("labels"))
+
+
 def keyword_search(s, d):
     return matched(s, d).select("glid", "listname", "creator", "tags")
 
@@ -182,7 +195,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         playlist_length_filter, playlist_islands, playlist_sets, corpus_build, corpus_stats, corpus_split, corpus_missing_info, token_count, triple_parse, ordered_dedupe,
-        truncate_pad, keyword_search, keyword_song_frequency, keyword_summary, keyword_compare, creator_stats, song_labels, gear_parse, gear_parse_seeds, vote_parse,
+        truncate_pad, token_vocabulary, tokenized_corpus, keyword_search, keyword_song_frequency, keyword_summary, keyword_compare, creator_stats, song_labels, gear_parse, gear_parse_seeds, vote_parse,
         coverage_rate, filter_known_votes, jaccard_songs, mean_scores, best_worst, jaccard_semantic_levels, binary_metrics, nearest_rank, batches,
     )
 }
@@ -257,6 +270,19 @@ SQL = {
         WITH x AS (SELECT DISTINCT playlist_id, list_transform(songs, lambda s: coalesce(TRY_CAST(s AS BIGINT), 1)) AS ids FROM playlists_corpus WHERE songs IS NOT NULL)
         SELECT playlist_id, array_to_string(list_concat(ids, list_transform(range(128), lambda i: 0))[1:128], ' ') AS input_ids,
                array_to_string(list_transform(range(128), lambda i: CASE WHEN i < len(ids) THEN 1 ELSE 0 END), ' ') AS attention_mask FROM x""",
+    "token_vocabulary": """
+        SELECT '<id_l1_' || i || '>' AS token, CAST(i AS INTEGER) AS id, 1 AS level, CAST(i AS INTEGER) AS value FROM range(128) t(i)
+        UNION ALL SELECT '<id_l2_' || i || '>', CAST(128 + i AS INTEGER), 2, CAST(i AS INTEGER) FROM range(128) t(i)
+        UNION ALL SELECT '<id_l3_' || i || '>', CAST(256 + i AS INTEGER), 3, CAST(i AS INTEGER) FROM range(256) t(i)
+        UNION ALL SELECT unnest(['<user>', '<eos>', '<unk>', '<pad>', '<mask>', '<sep>']), unnest([512, 513, 514, 515, 516, 517]), NULL, NULL""",
+    "tokenized_corpus": r"""
+        WITH w AS (SELECT rec_id, list_transform(string_split(trim(output_sequence), ' '), lambda t: CASE WHEN t = '<eos>' THEN 513
+            WHEN starts_with(t, '<id_l1_') THEN CAST(regexp_extract(t, '_(\d+)>$', 1) AS INTEGER)
+            WHEN starts_with(t, '<id_l2_') THEN 128 + CAST(regexp_extract(t, '_(\d+)>$', 1) AS INTEGER)
+            WHEN starts_with(t, '<id_l3_') THEN 256 + CAST(regexp_extract(t, '_(\d+)>$', 1) AS INTEGER) ELSE 514 END) AS x FROM generator_corpus)
+        SELECT rec_id, array_to_string(list_concat(x, list_transform(range(384), lambda i: 515))[1:384], ' ') AS input_ids,
+               array_to_string(list_transform(range(384), lambda i: CASE WHEN i < len(x) THEN 1 ELSE 0 END), ' ') AS attention_mask,
+               array_to_string(list_concat(x, list_transform(range(384), lambda i: -100))[1:384], ' ') AS labels FROM w""",
     "keyword_search": BASE + "SELECT glid, listname, creator, tags FROM hit",
     "keyword_song_frequency": BASE
     + """SELECT CAST(row_number() OVER (ORDER BY occurrences DESC, song_id) AS INTEGER) AS rank, f.song_id, occurrences, playlists, coalesce(name, 'N/A') AS name, coalesce(singer, 'N/A') AS singer
