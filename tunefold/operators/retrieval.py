@@ -83,12 +83,45 @@ def seed_centroids(seeds: DataFrame, vectors: DataFrame) -> DataFrame:
     return means.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("k", "m")))["m"].alias("v"))
 
 
-def in_cluster(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query, rank, song_id, score): neighbours of the same cluster only. ``queries`` (query, v, cluster), ``vectors``
-    (song_id, v, cluster). Blocks of a cluster meet its queries; a large cluster is spread by a hash of its songs."""
-    from tunefold.functions import vectors as V
+def _search_clusters(uri: str, k: int, dim: int):
+    """Rows of a cluster against the queries of the same cluster; keeps the k best per query and Arrow batch."""
 
-    own = queries.select("query", F.col("v").alias("qv"), "cluster")
-    scored = vectors.join(own, "cluster").where(F.col("song_id") != F.col("query")).select("query", "song_id", F.round(V.cosine("qv", "v"), 9).alias("score"))
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def matrix(col):
+            m = col.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype("f8")
+            n = np.sqrt((m * m).sum(1, keepdims=True))
+            return m / np.where(n > 0, n, 1)
+
+        for b in batches:
+            names, v = np.array(b.column(0).to_pylist(), dtype=object), matrix(b.column(1)) if b.num_rows else None
+            own = np.array(b.column(2).to_pylist())
+            rows = []
+            for c in np.unique(own).tolist():
+                data = shared.open_dataset(f"{uri}/cluster={c}")
+                at = np.flatnonzero(own == c)
+                for q in data.to_batches(columns=["query", "v"], batch_size=BLOCK) if data else ():
+                    if not q.num_rows:
+                        continue
+                    s = np.round(matrix(q.column("v")) @ v[at].T, 9)
+                    for i, name in enumerate(q.column("query").to_pylist()):
+                        near = np.lexsort((names[at], -s[i]))[: k + 1]
+                        rows += [(name, names[at[j]], float(s[i, j])) for j in near if names[at[j]] != name][:k]
+            cols = list(zip(*rows)) or [(), (), ()]
+            yield pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], names=["query", "song_id", "score"])
+
+    return run
+
+
+def in_cluster(queries: DataFrame, vectors: DataFrame, k: int, dim: int) -> DataFrame:
+    """(query, rank, song_id, score): neighbours of the same cluster only, without the query itself. ``queries`` (query, v,
+    cluster), ``vectors`` (song_id, v, cluster), cluster a number. Queries lie in the shared folder by cluster and meet the
+    rows in blocks; no pair leaves a task but the k best per batch."""
+    fits = f"size(v) = {dim} AND cluster IS NOT NULL"
+    uri = shared.write_table(queries.where(fits).select(F.col("query").cast("string"), F.col("v").cast("array<double>").alias("v"), F.col("cluster").cast("long").alias("cluster")).repartition("cluster"), "cluster-queries", "cluster")
+    slim = vectors.where(fits).select(F.col("song_id").cast("string"), F.col("v").cast("array<double>").alias("v"), F.col("cluster").cast("long").alias("cluster"))
+    found = slim.mapInArrow(_search_clusters(uri, k, dim), "query string, song_id string, score double")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "song_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "song_id", "score")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "song_id", "score")

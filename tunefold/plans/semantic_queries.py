@@ -52,7 +52,7 @@ def cosine_topk_exclude(s, d):
 def same_cluster_neighbors(s, d):
     p = points(s, d).withColumnRenamed("label", "cluster")
     q = p.where("vec_id % 20 = 0").select(F.col("song_id").alias("query"), "v", "cluster")
-    return R.in_cluster(q, p.select("song_id", "v", "cluster"), 10).withColumn("score", F.round("score", 6))
+    return R.in_cluster(q, p.select("song_id", "v", "cluster"), 10, DIM).withColumn("score", F.round("score", 6))
 
 
 def seed_centroid(s, d):
