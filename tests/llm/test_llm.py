@@ -98,6 +98,19 @@ def test_neighbors_small(spark):
     assert sorted((r["song_id"], r["neighbor"]) for r in got) == [("a", "b"), ("b", "a")]
 
 
+def test_neighbors_beyond_the_entries(spark):
+    """The nearest vectors are found wherever they stand: here the cells visited at first hold too few of them."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    vectors = {f"s{i}": rng.normal(size=24).astype("f4").tolist() for i in range(600)}
+    df = spark.createDataFrame(list(vectors.items()), "song_id string, v array<float>").repartition(3)
+    got = {}
+    for r in vector_neighbors.neighbors(df, "song_id", "v", 24, 5, entries=8).collect():
+        got.setdefault(r["song_id"], {})[r["rank"]] = r["neighbor"]
+    assert {k: [v[i] for i in sorted(v)] for k, v in got.items()} == brute_neighbors(vectors, 5)
+
+
 def test_visit_order():
     g = np.random.default_rng(3)
     d1, d2 = g.random(20), g.random(20)
