@@ -111,6 +111,19 @@ def test_neighbors_beyond_the_entries(spark):
     assert {k: [v[i] for i in sorted(v)] for k, v in got.items()} == brute_neighbors(vectors, 5)
 
 
+def test_neighbors_many_ties_and_copies(spark):
+    """Scaled copies are equally near: the smallest ids count, also beyond six copies of one vector."""
+    base = [0.3, 0.5, 0.7, 0.1]
+    rows = [(f"t{i:02d}", [x * (1 + (i * 7) % 40) for x in base]) for i in range(40)] + [(f"u{i}", [1.0, -2.0, 0.5, 3.0]) for i in range(12)]
+    df = spark.createDataFrame(rows, "song_id string, v array<float>")
+    got = {}
+    for r in vector_neighbors.neighbors(df, "song_id", "v", 4, 9).collect():
+        got.setdefault(r["song_id"], {})[r["rank"]] = r["neighbor"]
+    for s, v in got.items():
+        same = sorted(x for x, _ in rows if x[0] == s[0] and x != s)[:9]
+        assert [v[i] for i in sorted(v)] == same, s
+
+
 def test_visit_order():
     g = np.random.default_rng(3)
     d1, d2 = g.random(20), g.random(20)
