@@ -10,7 +10,10 @@ from typing import Protocol
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-POOL = 1000
+from tunefold import shared
+from tunefold.operators.ordering import with_position
+
+SPARE = 3
 
 
 class CandidateGenerator(Protocol):
@@ -28,36 +31,44 @@ def positives(rows: DataFrame, info: DataFrame) -> DataFrame:
     return rows.select("playlist_id", "song_id").distinct().join(titled, "playlist_id")
 
 
-def hard_negatives(pos: DataFrame, ids: DataFrame, n: int = 1, pool: int = POOL) -> DataFrame:
+def hard_negatives(pos: DataFrame, ids: DataFrame, n: int = 1) -> DataFrame:
     """(playlist_id, text, song_id, negative): up to n songs with the positive's semantic id that aren't in its playlist, in
-    seeded order. Of an id with very many songs a fixed seeded pool stands for all."""
-    members = ids.withColumn("__r", F.row_number().over(Window.partitionBy("l1", "l2", "l3").orderBy(F.md5("song_id"), "song_id"))).where(F.col("__r") <= pool)
-    members = members.select(F.col("song_id").alias("negative"), "l1", "l2", "l3")
-    drawn = pos.join(ids, "song_id").join(members, ["l1", "l2", "l3"]).where(F.col("negative") != F.col("song_id"))
-    inside = pos.select("playlist_id", F.col("song_id").alias("negative"))
-    free = drawn.join(inside, ["playlist_id", "negative"], "left_anti")
+    seeded order, of all songs of the id."""
+    members = ids.select(F.col("song_id").alias("negative"), "l1", "l2", "l3")
+    placed = pos.join(ids, "song_id")
+    held = placed.groupBy("playlist_id", "l1", "l2", "l3").agg(F.collect_set("song_id").alias("held"))
+    free = placed.join(held, ["playlist_id", "l1", "l2", "l3"]).join(members, ["l1", "l2", "l3"]).where(~F.array_contains("held", F.col("negative")))
     w = Window.partitionBy("playlist_id", "song_id").orderBy(F.md5(F.concat_ws("|", "playlist_id", "song_id", "negative")), "negative")
     return free.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).select("playlist_id", "text", "song_id", "negative")
 
 
-def random_negatives(pos: DataFrame, ids: DataFrame, hard: DataFrame, n: int = 1, pool: int = POOL) -> DataFrame:
+def random_negatives(pos: DataFrame, ids: DataFrame, hard: DataFrame, n: int = 1) -> DataFrame:
     """For positives with an id but fewer than n hard negatives: songs from outside the playlist, the missing number.
 
-    They come from a seeded pool of fixed size; a playlist that holds all of it gets none.
+    All songs with an id stand in one seeded order; a positive takes the first free ones from a seeded place of its own. So
+    many places more than it lacks as its playlist holds songs are enough; most are served by a few. A playlist
+    gets fewer only if no more songs are outside it.
     """
     have = hard.groupBy("playlist_id", "song_id").agg(F.count("*").alias("have"))
     short = pos.join(ids.select("song_id"), "song_id", "left_semi").join(have, ["playlist_id", "song_id"], "left").withColumn("lacks", F.lit(n) - F.coalesce("have", F.lit(0))).where("lacks > 0")
-    some = ids.select(F.col("song_id").alias("negative")).orderBy(F.md5("negative"), "negative").limit(pool)
-    inside = pos.select("playlist_id", F.col("song_id").alias("negative"))
-    lists = short.select("playlist_id").distinct()
-    held = lists.join(inside.join(F.broadcast(some), "negative", "left_semi"), "playlist_id", "left").groupBy("playlist_id").agg(F.collect_set("negative").alias("held"))
-    everything = some.agg(F.array_sort(F.collect_list(F.struct(F.md5("negative").alias("h"), "negative"))).alias("pool"))
-    free = held.join(F.broadcast(everything), F.lit(True)).select("playlist_id", F.filter("pool", lambda x: ~F.array_contains("held", x["negative"])).alias("free"))
-    # a different stretch of the free songs for each positive
-    start = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", "playlist_id", "song_id")), 1, 7), 16, 10).cast("long"), F.greatest(F.size("free"), F.lit(1))).cast("int")
-    joined = short.join(free, "playlist_id").where("size(free) > 0").withColumn("start", start)
-    picks = F.transform(F.sequence(F.lit(0), (F.least(F.col("lacks"), F.size("free")) - 1).cast("int")), lambda i: F.get("free", F.pmod(F.col("start") + i, F.size("free")))["negative"])
-    return joined.select("playlist_id", "text", "song_id", F.explode(picks).alias("negative"))
+    order = shared.materialise(with_position(ids.select(F.col("song_id").alias("negative")).distinct(), F.md5("negative"), "negative", name="at"), "negatives")
+    total = order.count()
+    inside = pos.select("playlist_id", F.col("song_id").alias("negative")).distinct()
+    holds = inside.join(order, "negative", "left_semi").groupBy("playlist_id").agg(F.count("*").alias("holds"))
+    start = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", "playlist_id", "song_id")), 1, 15), 16, 10).cast("long"), F.lit(max(1, total)))
+    short = shared.materialise(short.join(holds, "playlist_id").withColumn("start", start).select("playlist_id", "text", "song_id", "lacks", "holds", "start"), "short-positives")
+    key = ["playlist_id", "text", "song_id"]
+
+    def drawn(some: DataFrame, spare) -> DataFrame:
+        places = F.sequence(F.lit(0), (F.least(F.col("lacks") + spare, F.lit(total)) - 1).cast("int"))
+        tried = some.withColumn("step", F.explode(places)).withColumn("at", F.pmod(F.col("start") + F.col("step"), F.lit(max(1, total))))
+        free = tried.join(order, "at").join(inside, ["playlist_id", "negative"], "left_anti")
+        return free.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy("step"))).where(F.col("__r") <= F.col("lacks"))
+
+    first = shared.materialise(drawn(short, F.least(F.col("holds"), F.lit(SPARE))).select(*key, "lacks", "negative"), "drawn-negatives")
+    served = first.groupBy(*key, "lacks").agg(F.count("*").alias("got")).where("got >= lacks").select(*key)
+    rest = drawn(short.join(served, key, "left_anti"), F.col("holds"))
+    return first.join(served, key, "left_semi").select(*key, "negative").unionByName(rest.select(*key, "negative"))
 
 
 def pairs(rows: DataFrame, info: DataFrame, ids: DataFrame, n: int = 1) -> DataFrame:
