@@ -34,3 +34,15 @@ def test_random_negatives_from_the_whole_catalogue(spark):
     assert got.join(pos.select("playlist_id", F.col("song_id").alias("negative")), ["playlist_id", "negative"], "left_semi").count() == 0
     late = set(songs[1000:])
     assert sum(r["negative"] in late for r in got.where("playlist_id <> 'p'").collect()) > 300
+
+
+def test_generator_sums_before_it_cuts(spark):
+    """An id at place 61 of either word of a prompt is the best of both together."""
+    corpus = [("red", [(1, 1, i)]) for i in range(60) for _ in range(3)] + [("blue", [(2, 2, i)]) for i in range(60) for _ in range(3)] + [(w, [(9, 9, 9)]) for w in ("red", "blue") for _ in range(2)]
+    df = spark.createDataFrame(corpus, "text string, triples array<struct<l1:int,l2:int,l3:int>>")
+    prompts = spark.createDataFrame([(1, "Red blue"), (2, "blue  red"), (3, "red"), (4, None)], "key int, text string")
+    got = {}
+    for r in K.OverlapGenerator(df).generate(prompts).orderBy("place").collect():
+        got.setdefault(r["key"], []).append((r["l1"], r["l2"], r["l3"]))
+    assert got[1] == got[2] == [(9, 9, 9)] + [(1, 1, i) for i in range(19)]
+    assert got[3] == [(1, 1, i) for i in range(20)] and set(got) == {1, 2, 3}

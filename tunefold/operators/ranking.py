@@ -114,18 +114,19 @@ class LogisticRanker:
 class OverlapGenerator:
     """Semantic ids of the training playlists that share a title word with the prompt, most frequent first."""
 
-    def __init__(self, corpus: DataFrame, per_word: int = 50) -> None:
-        """corpus (text, triples); per word the ids of the highest counts are kept."""
+    def __init__(self, corpus: DataFrame) -> None:
+        """corpus (text, triples); the counts of all ids of every word are kept."""
         words = corpus.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("word"), F.explode("triples").alias("x"))
-        counts = words.where("word <> ''").groupBy("word", "x").agg(F.count("*").alias("n"))
-        w = Window.partitionBy("word").orderBy(F.desc("n"), "x")
-        self.table = counts.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= per_word).drop("__r")
+        self.table = words.where("word <> ''").groupBy("word", "x").agg(F.count("*").alias("n"))
 
     def generate(self, prompts: DataFrame, length: int = 20) -> DataFrame:
-        words = prompts.select("key", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("word"))
-        scored = words.join(self.table, "word").groupBy("key", "x").agg(F.sum("n").alias("n"))
-        w = Window.partitionBy("key").orderBy(F.desc("n"), "x")
-        return scored.withColumn("place", F.row_number().over(w) - 1).where(F.col("place") < length).select("key", "place", "x.l1", "x.l2", "x.l3")
+        """The cut comes after the sums over all words of a prompt; prompts with the same words are summed once."""
+        worded = prompts.select("key", F.array_sort(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("words"))
+        words = worded.select("words").distinct().select("words", F.explode("words").alias("word"))
+        scored = words.join(self.table, "word").groupBy("words", "x").agg(F.sum("n").alias("n"))
+        w = Window.partitionBy("words").orderBy(F.desc("n"), "x")
+        best = scored.withColumn("place", F.row_number().over(w) - 1).where(F.col("place") < length)
+        return worded.join(best, "words").select("key", "place", "x.l1", "x.l2", "x.l3")
 
 
 def rank(candidates: DataFrame, ranker: Ranker, k: int = 10) -> DataFrame:
