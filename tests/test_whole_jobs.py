@@ -46,3 +46,18 @@ def test_generator_sums_before_it_cuts(spark):
         got.setdefault(r["key"], []).append((r["l1"], r["l2"], r["l3"]))
     assert got[1] == got[2] == [(9, 9, 9)] + [(1, 1, i) for i in range(19)]
     assert got[3] == [(1, 1, i) for i in range(20)] and set(got) == {1, 2, 3}
+
+
+def test_all_seeds_and_all_known_ids(spark, data):
+    """Every row with a seed that has a vector is answered, and ids of songs with an odd number are known."""
+    import __spark_entry__ as e
+    from tunefold.plans import playlist_queries as P
+    from tunefold.plans import semantic_queries as Q
+
+    assert {"query_seed_topk", "unknown_ids"} <= set(e.queries())
+    seeds = P.votes(spark, data).where("gear IN (0, -1)").join(spark.read.parquet(f"{data}/song_vectors.parquet").where("size(v) = 512 AND NOT exists(v, x -> x IS NULL OR isnan(x)) AND exists(v, x -> x <> 0)").select(F.trim("song_id").alias("song_id")), "song_id", "left_semi")
+    got = Q.query_seed_topk(spark, data).groupBy("query").count()
+    assert got.count() == seeds.select("row_id").distinct().count() > 0
+    known = {tuple(r) for r in P.ids(spark, data).select("l1", "l2", "l3").collect()}
+    want = sum((r["l1"], r["l2"], r["l3"]) not in known for r in Q.generated(spark, data).collect())
+    assert (Q.unknown_ids(spark, data).agg(F.sum("invalid")).first()[0] or 0) == want

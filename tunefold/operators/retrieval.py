@@ -12,6 +12,14 @@ from tunefold import shared
 BLOCK = 2048
 
 
+def _leading(names, scores, k: int):
+    """Places of the k best scores, ties by name; only what reaches the k-th score is sorted."""
+    import numpy as np
+
+    at = np.flatnonzero(scores >= np.partition(scores, -k)[-k]) if k < len(scores) else np.arange(len(scores))
+    return at[np.lexsort((names[at], -scores[at]))[:k]]
+
+
 def _search(uri: str, k: int, dim: int, metric: str):
     """Every Arrow batch of the collection against every block of queries; keeps the k best per query in the partition."""
 
@@ -51,7 +59,7 @@ def _search(uri: str, k: int, dim: int, metric: str):
                 if x in best:
                     s, own = np.concatenate([best[x][0], s], 1), np.concatenate([best[x][1], own], 1)
                 s = np.round(s, 9)
-                order = np.stack([np.lexsort((own[i], -s[i]))[:k] for i in range(len(s))])
+                order = np.stack([_leading(own[i], s[i], k) for i in range(len(s))])
                 best[x] = np.take_along_axis(s, order, 1), np.take_along_axis(own, order, 1)
         for x, (s, own) in best.items():
             ids = prepared[x][0]

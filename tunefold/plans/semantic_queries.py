@@ -69,6 +69,17 @@ def seed_centroid_topk(s, d):
     return R.top_k(c.join(skip, "query"), points(s, d), 20, DIM).withColumn("score", F.round("score", 6))
 
 
+def query_seed_topk(s, d):
+    """For each row of query_vote the songs nearest to the centroid of all its seeds (gear 0 or -1); the voted songs don't
+    come out."""
+    v = votes(s, d).select(F.col("row_id").cast("string").alias("query"), "song_id", "gear")
+    vectors = _t(s, d, "song_vectors").where("size(v) = 512").select(F.trim("song_id").alias("song_id"), F.col("v").cast("array<double>").alias("v"))
+    vectors = vectors.where("song_id <> '' AND NOT exists(v, x -> x IS NULL OR isnan(x)) AND exists(v, x -> x <> 0)").groupBy("song_id").agg(F.min("v").alias("v"))
+    c = R.seed_centroids(v.where("gear IN (0, -1)").select("query", "song_id").distinct(), vectors)
+    skip = v.groupBy("query").agg(F.collect_set("song_id").alias("skip"))
+    return R.top_k(c.join(skip, "query"), vectors, 20, 512).withColumn("score", F.round("score", 6))
+
+
 def nearest_center(s, d):
     return S.nearest_centers(points(s, d), first_centers(s, d)).select("vec_id", "slot", F.round("d", 6).alias("d"))
 
@@ -162,6 +173,11 @@ def invalid_ids(s, d):
     return S.invalid(generated(s, d), ids(s, d).where("CAST(song_id AS BIGINT) % 2 = 0"))
 
 
+def unknown_ids(s, d):
+    """Ids of the corpus that no song has."""
+    return S.invalid(generated(s, d), ids(s, d))
+
+
 def constrained_mask(s, d):
     """What may follow the first tokens of every record: none, one, two or three levels of its first triple."""
     g = generated(s, d).where("place = 0").select("key", F.slice(F.array("l1", "l2", "l3"), F.lit(1), (F.col("key") % 4).cast("int")).alias("prefix"))
@@ -207,9 +223,9 @@ def silhouette(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        vector_normalize, cosine_topk, euclidean_topk, cosine_topk_exclude, same_cluster_neighbors, seed_centroid, seed_centroid_topk, nearest_center, masked_nearest_center,
+        vector_normalize, cosine_topk, euclidean_topk, cosine_topk_exclude, same_cluster_neighbors, seed_centroid, seed_centroid_topk, query_seed_topk, nearest_center, masked_nearest_center,
         residual_norm, overflow_loss, center_update, collisions, collision_summary, id_coverage, layer_bincount_stats, combo_utilization, l3_per_combo, songs_per_combo,
-        id_multiplicity, smallest_combos, prefix_search, trie_next_tokens, trie_stats, generation_rank, primary_and_similar, invalid_ids, constrained_mask, candidate_slots,
+        id_multiplicity, smallest_combos, prefix_search, trie_next_tokens, trie_stats, generation_rank, primary_and_similar, invalid_ids, unknown_ids, constrained_mask, candidate_slots,
         reverse_lookup, metric_sample, calinski_harabasz, davies_bouldin, silhouette,
     )
 }
@@ -247,6 +263,12 @@ SQL = {
         m AS (SELECT query, k, avg(x) AS x FROM e GROUP BY query, k), cv AS (SELECT query, list(x ORDER BY k) AS v FROM m GROUP BY query)
         SELECT query, CAST(r AS INTEGER) AS rank, song_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, song_id) AS r FROM
         (SELECT query, CAST(vec_id AS VARCHAR) AS song_id, round(list_cosine_similarity(cv.v, p.v), 9) AS s FROM cv, p WHERE NOT EXISTS (SELECT 1 FROM sd WHERE sd.query = cv.query AND sd.vec_id = p.vec_id))) WHERE r <= 20""",
+    "query_seed_topk": BASE
+    + """, sv AS (SELECT song_id, min(v) AS v FROM (SELECT trim(song_id) AS song_id, list_transform(v, lambda x: CAST(x AS DOUBLE)) AS v FROM song_vectors WHERE len(v) = 512) WHERE song_id <> ''
+        AND len(list_filter(v, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0 GROUP BY 1), sd AS (SELECT DISTINCT row_id, song_id FROM vote WHERE gear IN (0, -1)),
+        e AS (SELECT row_id, unnest(v) AS x, unnest(range(512)) AS k FROM sd JOIN sv USING (song_id)), m AS (SELECT row_id, k, avg(x) AS x FROM e GROUP BY 1, 2), cv AS (SELECT row_id, list(x ORDER BY k) AS v FROM m GROUP BY 1)
+        SELECT query, CAST(r AS INTEGER) AS rank, song_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, song_id) AS r FROM
+        (SELECT CAST(cv.row_id AS VARCHAR) AS query, sv.song_id, round(list_cosine_similarity(cv.v, sv.v), 9) AS s FROM cv, sv WHERE NOT EXISTS (SELECT 1 FROM vote w WHERE w.row_id = cv.row_id AND w.song_id = sv.song_id))) WHERE r <= 20""",
     "nearest_center": _P + "SELECT vec_id, slot, round(d, 6) AS d FROM a",
     "masked_nearest_center": _P
     + """, k AS (SELECT label, CAST(r - 1 AS INTEGER) AS slot, v AS center FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM p) WHERE r <= 4)
@@ -282,6 +304,7 @@ SQL = {
         t AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, first) AS rank FROM r), m AS (SELECT l1, l2, l3, count(*) AS cluster_size, list(song_id ORDER BY song_id) AS s FROM sid GROUP BY 1, 2, 3)
         SELECT key, CAST(rank AS INTEGER) AS rank, l1, l2, l3, n, cluster_size, s[1] AS "primary", array_to_string(s[2:6], ' ') AS similar FROM t JOIN m USING (l1, l2, l3) WHERE rank <= 10""",
     "invalid_ids": _G + "SELECT key, count(*) AS invalid FROM g WHERE NOT EXISTS (SELECT 1 FROM sid s WHERE s.l1 = g.l1 AND s.l2 = g.l2 AND s.l3 = g.l3 AND CAST(s.song_id AS BIGINT) % 2 = 0) GROUP BY key",
+    "unknown_ids": _G + "SELECT key, count(*) AS invalid FROM g WHERE NOT EXISTS (SELECT 1 FROM known s WHERE s.l1 = g.l1 AND s.l2 = g.l2 AND s.l3 = g.l3) GROUP BY key",
     "constrained_mask": _G
     + """, f AS (SELECT key, [l1, l2, l3][1:key % 4] AS prefix FROM g WHERE place = 0), x AS (SELECT key, prefix, array_to_string(prefix, ',') AS p FROM f),
         nx AS (SELECT prefix, array_to_string(list(next ORDER BY next), ',') AS children FROM (SELECT '' AS prefix, l1 AS next FROM sid UNION SELECT CAST(l1 AS VARCHAR), l2 FROM sid UNION SELECT l1 || ',' || l2, l3 FROM sid) GROUP BY prefix)
