@@ -366,6 +366,17 @@ def sentence(lang, n):
     return f"Track {n}: {''.join(parts[k:] + parts[:k])} ({n})"
 
 
+def test_learning_from_all_pieces_of_a_form(spark):
+    """Two garbled pieces among hundreds of one stripped form, whose twins stand last in every order."""
+    rnd = random.Random(3)
+    last = ["ту", "ти"]
+    words = sorted({"".join(rnd.choice("бвгдклмнпрст") + rnd.choice("аеиоу") for _ in range(rnd.choice((1, 2)))) for _ in range(300)} - set(last))
+    rows = [f"Song called {w} by somebody" for w in words for _ in range(3)]
+    rows += [f"Song called {w} by somebody" for w in last] + [f"Song called {w.encode('cp1251').decode('koi8_r')} by somebody" for w in last]
+    learned = mojibake.learn(spark.createDataFrame([(r,) for r in rows], "t string").repartition(3), "t")[1]
+    assert ("koi8_r", "cp1251") in learned
+
+
 def test_repair(spark):
     rows, garbled, i = [], {}, 0
     for n in range(300):
