@@ -36,6 +36,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """One small file under the shared folder, removed at the end of the session."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(p)
+    out.write(bytearray(content))
+    out.close()
+    fs.deleteOnExit(p)
+
+
 def materialise(df: DataFrame, name: str, partition_by: str | None = None, codec: str = "zstd") -> DataFrame:
     """Write once, read many times: cuts the lineage and survives the loss of executors."""
     path = write_table(df, name, partition_by, codec)

@@ -2,32 +2,31 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import io
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from tunefold import shared
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Once per application: adds a zip of the package to the workers' path. In local mode the workers share the driver's
-    path, which gets the package's parent folder."""
+    """Once per application: a zip of the package in the shared folder, added to the workers' path.
+
+    The zip stays until the session ends, since executors ask for it whenever they start, lost and replaced ones too.
+    """
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
-    if sc.master.startswith("local["):
-        parent = str(root.parent)
-        if parent not in os.environ.get("PYTHONPATH", "").split(":"):
-            os.environ["PYTHONPATH"] = f"{parent}:{os.environ.get('PYTHONPATH', '')}"
-    fd, name = tempfile.mkstemp(prefix="tunefold-", suffix=".zip")
-    os.close(fd)
-    with zipfile.ZipFile(name, "w") as z:
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(name)
-    os.unlink(name) if not sc.master.startswith("local") else None
+    path = shared.new_path(spark, "package") + ".zip"
+    shared.write_bytes(spark, path, held.getvalue())
+    sc.addPyFile(path)
     _shipped.add(sc.applicationId)
