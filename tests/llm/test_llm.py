@@ -404,7 +404,47 @@ def test_align_and_transform():
     assert mojibake.align(odd, text) == ("Ã±", "ñ")
     assert ("cp1252", "utf_8") in mojibake.transformations("Ã±", "ñ")
     assert mojibake.align("same", "same") is None
-    assert mojibake.strip_key("a é 12") == "a  00"
+    assert mojibake.strip_key("a é 12") == "a \x7f 00"
+
+
+ONE_OF_EACH = [
+    *[("de", "utf_8", c) for c in ("cp1252", "cp1254", "iso8859_15", "mac_roman", "cp437", "cp850")],
+    *[("ru", "utf_8", c) for c in ("cp1251", "cp1252", "mac_cyrillic", "koi8_r", "cp866", "cp437")],
+    ("pl", "utf_8", "cp1250"), ("zh", "utf_8", "gb18030"), ("zh", "gb18030", "cp1252"), ("zh", "gb18030", "latin_1"), ("ja", "utf_8", "cp932"), ("ja", "euc_jp", "latin_1"), ("ja", "cp932", "latin_1"),
+    ("ru", "cp1251", "cp1252"), ("ru", "koi8_r", "cp1251"), ("ru", "cp1251", "koi8_r"), ("ru", "cp866", "cp1251"),
+]
+
+
+def test_one_document_of_each_pair(spark):
+    """A single garbled document among 180 is enough for its pair of encodings to be found and taken back."""
+    clean = [(i, sentence(lang, n)) for i, (n, lang) in enumerate((n, lang) for n in range(30) for lang in SENTENCES)]
+    bad, right = [], []
+    for lang, own, other in ONE_OF_EACH:
+        text = SENTENCES[lang]
+        odd = text.encode(own, "ignore").decode(other, "replace")
+        df = spark.createDataFrame([*clean, (9999, odd)], "doc_id long, text string").coalesce(1)
+        packed, learned = mojibake.learn(df, "text")
+        repair = mojibake.Repairer(packed, learned)
+        if repair.found([odd]) != [True] or any(repair.found([t for _, t in clean])):
+            bad.append((own, other, learned))
+        right.append(repair.restored([odd])[0][0] == text)
+    assert not bad
+    assert sum(right) >= 0.8 * len(right)
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_plain_marks_are_found_at_every_size(spark, data, size):
+    """Sequences that no text in the nine languages holds."""
+    docs = spark.read.parquet(f"{data}/../{size}/documents.parquet")
+    marked = docs.where(r"text RLIKE 'Ã[©±¼§³¡]|â€[œ™“]|�|Â[£½°]|├[®⌐¡]|√[©±£°]'")
+    missed = marked.join(mojibake.found(docs, "doc_id", "text"), "doc_id", "left_anti")
+    assert missed.count() <= 0.01 * marked.count()
+
+
+def test_found_are_the_repaired(spark, data):
+    docs = spark.read.parquet(f"{data}/../sf0.01/documents.parquet")
+    a, b = mojibake.found(docs, "doc_id", "text").collect(), mojibake.repaired(docs, "doc_id", "text").collect()
+    assert {r["doc_id"] for r in a} == {r["doc_id"] for r in b} and len(a) == len(b) > 0
 
 
 def test_found_columns(spark, data):
