@@ -72,7 +72,7 @@ def test_neighbors(spark):
     rows += [(" s3 ", vectors["s3"].tolist()), ("s4", vectors["s4"].tolist()), (None, [1.0] * 16), ("x", None), ("y", [1.0]), ("z", [0.0] * 16), ("nan", [float("nan")] * 16), ("null", [None] * 16)]
     df = spark.createDataFrame(rows, "song_id string, v array<float>").withColumn("rank", F.lit(1)).repartition(4)
     got = defaultdict(dict)
-    for r in vector_neighbors.neighbors(df, "song_id", "v", 16, 5, entries=10_000).collect():
+    for r in vector_neighbors.neighbors(df, "song_id", "v", 16, 5, entries=None).collect():
         got[r["song_id"]][r["rank"]] = r["neighbor"]
     assert {k: [v[i] for i in sorted(v)] for k, v in got.items()} == brute_neighbors(vectors, 5)
 
@@ -99,14 +99,14 @@ def test_neighbors_small(spark):
 
 
 def test_neighbors_beyond_the_entries(spark):
-    """The nearest vectors are found wherever they stand: here the cells visited at first hold too few of them."""
+    """Without a bound on the entries all cells are visited: the nearest vectors are found wherever they stand."""
     import numpy as np
 
     rng = np.random.default_rng(5)
     vectors = {f"s{i}": rng.normal(size=24).astype("f4").tolist() for i in range(600)}
     df = spark.createDataFrame(list(vectors.items()), "song_id string, v array<float>").repartition(3)
     got = {}
-    for r in vector_neighbors.neighbors(df, "song_id", "v", 24, 5, entries=8).collect():
+    for r in vector_neighbors.neighbors(df, "song_id", "v", 24, 5, entries=None).collect():
         got.setdefault(r["song_id"], {})[r["rank"]] = r["neighbor"]
     assert {k: [v[i] for i in sorted(v)] for k, v in got.items()} == brute_neighbors(vectors, 5)
 
@@ -129,10 +129,33 @@ def test_visit_order():
     d1, d2 = g.random(20), g.random(20)
     cells = np.unique(g.integers(0, 400, 200))
     rows, cols, sizes = cells // 20, cells % 20, g.integers(1, 9, len(cells))
+    held = vector_neighbors.Cells(cells, sizes, 20)
     want = np.argsort(d1[rows] + d2[cols])
-    for entries in (1, 50, 10**9):
-        n = min(int(np.searchsorted(np.cumsum(sizes[want]), entries)) + 1, len(cells))
-        assert vector_neighbors.visit_order(d1, d2, rows, cols, sizes, entries).tolist() == want[:n].tolist()
+    for entries in (1, 50, None):
+        n = len(cells) if entries is None else min(int(np.searchsorted(np.cumsum(sizes[want]), entries)) + 1, len(cells))
+        got = vector_neighbors.visit_order(held, d1, d2, np.argsort(d1), np.argsort(d2), entries)
+        assert got.tolist() == want[:n].tolist()
+        assert not held.met.any()
+
+
+def test_recall_of_few_entries(spark, data):
+    """With a twentieth of the vectors as entries, nine of ten neighbours are found at least."""
+    df = spark.read.parquet(f"{data}/../sf0.01/song_vectors.parquet")
+    exact, near = ({(r["song_id"], r["neighbor"]) for r in vector_neighbors.neighbors(df, "song_id", "v", 512, 5, entries=n).collect()} for n in (None, 48))
+    assert len(exact) > 4000
+    assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_copies_beyond_six(spark):
+    """Twenty copies among thirty others: each copy's ten neighbours are copies."""
+    g = np.random.default_rng(8)
+    rows = [(f"c{i:02d}", [1.0, 2.0, -1.0, 0.5, 3.0, 0.1]) for i in range(20)] + [(f"o{i:02d}", g.normal(size=6).tolist()) for i in range(30)]
+    df = spark.createDataFrame(rows, "song_id string, v array<float>").repartition(4)
+    got = defaultdict(list)
+    for r in vector_neighbors.neighbors(df, "song_id", "v", 6, 10).orderBy("song_id", "rank").collect():
+        got[r["song_id"]].append(r["neighbor"])
+    for i in range(20):
+        assert got[f"c{i:02d}"] == [f"c{j:02d}" for j in range(20) if j != i][:10]
 
 
 # ---------------------------------------------------------------- problem 5
