@@ -3,7 +3,7 @@
 Code points and short strings that look alike are joined by union-find into transitive classes: forms of another width,
 joined letters, accents apart from their letters, odd spaces, invisible characters, and look-alike letters of other
 alphabets. Each class gets, for each alphabet, a representative: among its ordinary members (composed, of ordinary width,
-visible) the one most frequent in the data. A multi-pattern automaton rewrites greedily, longest match first. A word that
+visible, of letters those of ordinary writing) the one most frequent in the data; of equally frequent ones the first. A multi-pattern automaton rewrites greedily, longest match first. A word that
 mixes alphabets is then written in one: the one in which all its letters exist, by letter-pair frequency if two do.
 
 Only counts of code points and of letter pairs go to the driver; both are bounded by Unicode, not by the data.
@@ -16,6 +16,7 @@ import unicodedata as U
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +75,17 @@ def _plain(s: str) -> bool:
     return U.normalize("NFC", s) == s and not any(U.decomposition(c).startswith(WIDTH_TAGS) or _joined(c) for c in s)
 
 
+def _in_use(c: str) -> bool:
+    """A letter of a language's ordinary writing: some eight-bit set of its alphabet has it."""
+    for codec in ("cp1252", "cp1250", "cp1254", "cp1257", "cp1251", "iso8859_5", "cp1253"):
+        try:
+            c.encode(codec)
+            return True
+        except UnicodeEncodeError:
+            pass
+    return False
+
+
 def _joined(c: str) -> bool:
     """One character made of several letters."""
     d = U.decomposition(c)
@@ -114,7 +126,7 @@ def build_model(counts: dict[str, int], pairs: dict[str, int]) -> dict:
         for s in SCRIPTS:
             own = [m for m in members if script_of(m) == s]
             if own:
-                best = max(own, key=lambda m: (m.isascii(), counts.get(m, 0), -ord(m)))
+                best = max(own, key=lambda m: (_in_use(m), counts.get(m, 0), -ord(m)))
                 by_script[s].update({m: best for m in members})
     odd = {m: v for m, v in by_script["Latin"].items() if script_of(m) == "Latin" and m != v}
     return {"table": table, "by_script": by_script, "odd": odd, "pairs": pairs}
@@ -225,12 +237,12 @@ def fit(texts: DataFrame) -> dict:
 def consistent_form(column: Column | str, model: dict) -> Column:
     """The consistent form of a text column; null stays null, empty stays empty."""
 
-    def run(texts):
-        import pandas as pd
-
-        rewrite = Rewriter(model)
-        return pd.Series([None if t is None else rewrite(t) for t in texts], dtype=object)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        rewrite = Rewriter(model)  # one automaton and one memory of words for all batches of a task
+        for texts in batches:
+            yield pd.Series([None if t is None else rewrite(t) for t in texts], dtype=object)
 
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, T.StringType())(column)
 
 
