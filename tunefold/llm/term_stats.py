@@ -2,10 +2,12 @@
 
 Each record is cut at every position into a suffix of at most ``max_len`` terms. For each prefix length the suffix carries
 a mark that says whether the record shows this run for the first time here, so that the number of records becomes a sum
-and no set of records has to be kept. Equal suffixes are summed before the shuffle. Suffixes are then routed by their
-first term (a frequent first term is spread over neighbouring partitions by its second), sorted in reverse
-lexicographic order, and one pass with a stack gives the counts of all prefixes; what a partition border cuts is summed
-at the end.
+and no set of records has to be kept. Equal suffixes of a batch are summed where they arise. Suffixes are then routed by
+their first term (a frequent first term is spread over neighbouring partitions by its second), sorted in reverse
+lexicographic order, and one pass with a stack sums equal suffixes and gives the counts of all prefixes; what a partition
+border cuts is summed at the end.
+
+Repeated records are told by a hash: only records whose hash slot is taken more than once travel and are compared.
 """
 
 from __future__ import annotations
@@ -15,7 +17,39 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tunefold import shared
+
 SEP = "\x1f"
+SLOT_BITS = 24
+SPACE = " \t\n\x0b\f\r"
+
+
+def _slots_taken(batches: Iterator) -> Iterator:
+    """The slots of one partition's records, with the number of records, 2 standing for more."""
+    import numpy as np
+    import pyarrow as pa
+
+    total = np.zeros(1 << SLOT_BITS, "u1")
+    for b in batches:
+        slot, n = np.unique(b.column(0).to_numpy(), return_counts=True)
+        total[slot] = np.minimum(total[slot] + np.minimum(n, 2), 2)
+    some = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(some.astype("i4")), pa.array(total[some].astype("i4"))], names=["slot", "n"])
+
+
+def _chosen(packed: bytes, repeated: bool):
+    """The records whose slot is taken more than once, or the others."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import zstandard
+
+        flags = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "u1")).view(bool)
+        for b in batches:
+            yield b.filter(pa.array(flags[b.column(0).to_numpy()] == repeated))
+
+    return run
 
 
 def _suffixes(max_len: int):
@@ -106,13 +140,22 @@ def ngram_counts(df: DataFrame, keys: list[str], terms: str, max_len: int = 1) -
       empty array holds nothing. Records equal in ``keys`` and all terms count once.
     * ``records`` is the number of records that hold the gram. An empty table gives no row. Only the named columns are read.
     """
-    clean = F.filter(F.transform(F.col(terms), lambda x: F.regexp_replace(x.cast("string"), r"^\s+|\s+$", "")), lambda x: F.length(x) > 0)
-    rows = df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], clean.alias("t")).distinct().where(F.size("t") > 0).select("t")
-    parts = rows.mapInArrow(_suffixes(max_len), "suffix string, n long, firsts array<long>")
-    sums = [F.sum(F.element_at("firsts", i + 1)).alias(f"f{i}") for i in range(max_len)]
-    grouped = parts.groupBy("suffix").agg(F.sum("n").alias("n"), *sums).select("suffix", "n", F.array(*[f"f{i}" for i in range(max_len)]).alias("firsts"))
+    import numpy as np
+    import zstandard
+
+    clean = F.filter(F.transform(F.col(terms), lambda x: F.trim(x.cast("string"), F.lit(SPACE))), lambda x: F.length(x) > 0)
+    keyed = df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], clean.alias("t")).where(F.size("t") > 0)
+    slot = F.xxhash64(*[F.col(f"__k{i}") for i in range(len(keys))], "t").bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int")
+    rows = keyed.select(slot.alias("slot"), *[f"__k{i}" for i in range(len(keys))], "t")
+    taken = rows.select("slot").mapInArrow(_slots_taken, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").select("slot").toArrow()["slot"].to_numpy()
+    flags = np.zeros(1 << SLOT_BITS, bool)
+    flags[taken] = True
+    packed = zstandard.ZstdCompressor(level=3).compress(np.packbits(flags).tobytes())
+    single, again = (rows.mapInArrow(_chosen(packed, x), rows.schema) for x in (False, True))
+    counted = single.select("t").unionByName(again.drop("slot").distinct().select("t"))
+    parts = shared.materialise(counted.mapInArrow(_suffixes(max_len), "suffix string, n long, firsts array<long>"), "p6-suffixes")
     first, second = F.substring_index("suffix", SEP, 1), F.substring_index("suffix", SEP, 2)
-    ranged = grouped.repartitionByRange(first.desc(), second.desc(), F.col("suffix").desc()).sortWithinPartitions(F.col("suffix").desc())
+    ranged = parts.repartitionByRange(first.desc(), second.desc(), F.col("suffix").desc()).sortWithinPartitions(F.col("suffix").desc())
     counts = ranged.mapInArrow(_stack, "gram string, len int, occurrences long, records long")
     return counts.groupBy("gram", "len").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
