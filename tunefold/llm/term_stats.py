@@ -16,14 +16,46 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tunefold import shared
 
 SEP = "\x1f"
 SLOT_BITS = 24
+BLOCK = 65_536
 SPACE = " \t\n\x0b\f\r"
 
 
+def _tidy(lists):
+    """(record, term) of a list column: terms without outer white space, null and empty ones left out."""
+    import pyarrow.compute as pc
+
+    flat = pc.utf8_trim(pc.list_flatten(lists), SPACE)
+    keep = pc.fill_null(pc.greater(pc.utf8_length(flat), 0), False)
+    return pc.list_parent_indices(lists).filter(keep).to_numpy().astype("i8"), flat.filter(keep)
+
+
+def _record_slots(batch):
+    """(record, slot) of the records that hold a term: a hash of the keys and of all terms in their places."""
+    import numpy as np
+    import pandas as pd
+
+    rec, flat = _tidy(batch.column(batch.num_columns - 1))
+    if not len(rec):
+        return rec, rec
+    first = np.flatnonzero(np.r_[True, rec[1:] != rec[:-1]])
+    enc = flat.dictionary_encode()
+    place = np.arange(len(rec)) - np.repeat(first, np.diff(np.r_[first, len(rec)]))
+    weight = (place.astype("u8") * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+    words = pd.util.hash_array(np.array(enc.dictionary.to_pylist(), object), categorize=False)
+    total = np.add.reduceat(words[enc.indices.to_numpy()] * weight, first)
+    rec = rec[first]
+    for k in range(batch.num_columns - 1):
+        keys = batch.column(k).fill_null("\x00").to_numpy(zero_copy_only=False)
+        total = total * np.uint64(0xC2B2AE3D27D4EB4F) + pd.util.hash_array(keys, categorize=False)[rec]
+    return rec, ((total ^ total >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype("i4")
+
+
 def _slots_taken(batches: Iterator) -> Iterator:
     """The slots of one partition's records, with the number of records, 2 standing for more."""
     import numpy as np
@@ -31,72 +63,106 @@ def _slots_taken(batches: Iterator) -> Iterator:
 
     total = np.zeros(1 << SLOT_BITS, "u1")
     for b in batches:
-        slot, n = np.unique(b.column(0).to_numpy(), return_counts=True)
+        slot, n = np.unique(_record_slots(b)[1], return_counts=True)
         total[slot] = np.minimum(total[slot] + np.minimum(n, 2), 2)
     some = np.flatnonzero(total)
     yield pa.record_batch([pa.array(some.astype("i4")), pa.array(total[some].astype("i4"))], names=["slot", "n"])
 
 
-def _chosen(packed: bytes, repeated: bool):
-    """The records whose slot is taken more than once, or the others."""
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-        import zstandard
+def _flags(packed: bytes):
+    import numpy as np
+    import zstandard
 
-        flags = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "u1")).view(bool)
-        for b in batches:
-            yield b.filter(pa.array(flags[b.column(0).to_numpy()] == repeated))
+    return np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "u1")).view(bool)
 
-    return run
 
-
-def _suffixes(max_len: int):
-    """(suffix, n, firsts) of each batch, equal suffixes already summed. ``firsts`` has one number per prefix length."""
+def _cut(max_len: int, packed: bytes | None, schema):
+    """One pass over the records: the suffixes of those whose slot is taken once (of all without ``packed``), summed over
+    BLOCK records, as (suffix, n, firsts); and the other records themselves, tidied. ``firsts`` has one number per length."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        flags = _flags(packed) if packed else None
+        held, rows = [], 0
+
+        def filled(rows_: int, **columns):
+            return pa.record_batch([columns.get(f.name, pa.nulls(rows_, f.type)) for f in schema], schema=schema)
+
+        def summed():
+            t = pa.Table.from_batches(held).combine_chunks()
+            got = _suffixes(t.column(0).chunk(0), max_len) if t.num_rows else None
+            return filled(len(got[0]), suffix=got[0], n=got[1], firsts=got[2]) if got else None
+
         for b in batches:
-            col = b.column(0)
-            rec = np.repeat(np.arange(b.num_rows), np.diff(col.offsets.to_numpy()))
-            flat = col.flatten()
-            if not len(flat):
-                continue
-            enc = flat.dictionary_encode()
-            words = enc.dictionary.to_pylist()
-            code = enc.indices.to_numpy().astype("i8") + 1
-            n, width = len(code), len(words) + 1
-            # prefix ids of each length by repeated pairing: equal runs get equal numbers
-            ids, firsts, tails = code, [], [code]
-            for length in range(1, max_len + 1):
-                if length > 1:
-                    nxt = np.zeros(n, "i8")
-                    k = length - 1
-                    if n > k:
-                        same = rec[:-k] == rec[k:]
-                        nxt[:-k] = np.where(same, code[k:], 0)
-                    tails.append(nxt)
-                    ids = np.unique(ids * width + nxt, return_inverse=True)[1].astype("i8").reshape(-1)
-                    whole = nxt > 0
-                else:
-                    whole = np.ones(n, bool)
-                mark = np.zeros(n, "i8")
-                top = int(ids.max()) + 1
-                mark[np.unique(rec * top + ids, return_index=True)[1]] = 1
-                firsts.append(mark * whole)
-            uniq, at, inv = np.unique(ids, return_index=True, return_inverse=True)
-            count = np.bincount(inv.reshape(-1), minlength=len(uniq))
-            sums = [np.bincount(inv.reshape(-1), weights=f, minlength=len(uniq)).astype("i8") for f in firsts]
-            text = [SEP.join(words[t[i] - 1] for t in tails if t[i]) for i in at.tolist()]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(uniq) * max_len + 1, max_len, dtype="i4")), pa.array(np.stack(sums, 1).reshape(-1)))
-            yield pa.record_batch([pa.array(text, pa.string()), pa.array(count.astype("i8")), lists], names=["suffix", "n", "firsts"])
+            lists = b.column(b.num_columns - 1)
+            if flags is not None:
+                rec, slot = _record_slots(b)
+                again = flags[slot]
+                some = b.take(pa.array(rec[again]))
+                at, flat = _tidy(some.column(some.num_columns - 1))
+                offsets = np.r_[0, np.cumsum(np.bincount(at, minlength=some.num_rows))].astype("i4")
+                keys = {n: c for n, c in zip(b.schema.names[:-1], some.columns[:-1])}
+                if some.num_rows:
+                    yield filled(some.num_rows, t=pa.ListArray.from_arrays(pa.array(offsets), flat), **keys)
+                lists = lists.take(pa.array(rec[~again]))
+            held.append(pa.record_batch([lists], names=["t"]))
+            rows += len(lists)
+            if rows >= BLOCK:
+                if (out := summed()) is not None:
+                    yield out
+                held, rows = [], 0
+        if rows and (out := summed()) is not None:
+            yield out
 
     return run
 
 
+def _suffixes(lists, max_len: int):
+    """Distinct suffixes of some records with their numbers, or nothing."""
+    import numpy as np
+    import pyarrow as pa
+
+    rec, flat = _tidy(lists)
+    if not len(flat):
+        return None
+    enc = flat.dictionary_encode()
+    words = enc.dictionary.to_pylist()
+    code = enc.indices.to_numpy().astype("i8") + 1
+    n, width = len(code), len(words) + 1
+    # prefix ids of each length by repeated pairing: equal runs get equal numbers
+    ids, firsts, tails = code, [], [code]
+    for length in range(1, max_len + 1):
+        if length > 1:
+            nxt = np.zeros(n, "i8")
+            k = length - 1
+            if n > k:
+                same = rec[:-k] == rec[k:]
+                nxt[:-k] = np.where(same, code[k:], 0)
+            tails.append(nxt)
+            ids = np.unique(ids * width + nxt, return_inverse=True)[1].astype("i8").reshape(-1)
+            whole = nxt > 0
+        else:
+            whole = np.ones(n, bool)
+        mark = np.zeros(n, "i8")
+        top = int(ids.max()) + 1
+        mark[np.unique(rec * top + ids, return_index=True)[1]] = 1
+        firsts.append(mark * whole)
+    # ids are dense: first places and sums by number
+    count = np.bincount(ids)
+    at = np.zeros(len(count), "i8")
+    at[ids[::-1]] = np.arange(n - 1, -1, -1)
+    real = np.flatnonzero(count)
+    sums = [np.bincount(ids, weights=f, minlength=len(count)).astype("i8")[real] for f in firsts]
+    if max_len == 1:
+        text = enc.dictionary.take(pa.array(real - 1))
+    else:
+        text = pa.array([SEP.join(words[t[i] - 1] for t in tails if t[i]) for i in at[real].tolist()], pa.string())
+    firsts_ = pa.ListArray.from_arrays(pa.array(np.arange(0, len(real) * max_len + 1, max_len, dtype="i4")), pa.array(np.stack(sums, 1).reshape(-1)))
+    return text, pa.array(count[real].astype("i8")), firsts_
+
+
 def _stack(batches: Iterator) -> Iterator:
     """Prefix counts of one partition's suffixes in reverse lexicographic order."""
     import pyarrow as pa
@@ -133,6 +199,13 @@ def _stack(batches: Iterator) -> Iterator:
         yield batch()
 
 
+def _arrow(shape: T.StructType):
+    import pyarrow as pa
+
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
+    return pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in shape.fields])
+
+
 def ngram_counts(df: DataFrame, keys: list[str], terms: str, max_len: int = 1) -> DataFrame:
     """(gram, len, occurrences, records) for every run of 1..max_len terms; a gram's terms are joined by U+001F.
 
@@ -143,17 +216,17 @@ def ngram_counts(df: DataFrame, keys: list[str], terms: str, max_len: int = 1) -
     import numpy as np
     import zstandard
 
-    clean = F.filter(F.transform(F.col(terms), lambda x: F.trim(x.cast("string"), F.lit(SPACE))), lambda x: F.length(x) > 0)
-    keyed = df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], clean.alias("t")).where(F.size("t") > 0)
-    slot = F.xxhash64(*[F.col(f"__k{i}") for i in range(len(keys))], "t").bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int")
-    rows = keyed.select(slot.alias("slot"), *[f"__k{i}" for i in range(len(keys))], "t")
-    taken = rows.select("slot").mapInArrow(_slots_taken, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").select("slot").toArrow()["slot"].to_numpy()
+    rows = df.select(*[F.col(k).cast("string").alias(f"__k{i}") for i, k in enumerate(keys)], F.col(terms).cast("array<string>").alias("t"))
+    taken = rows.mapInArrow(_slots_taken, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").select("slot").toArrow()["slot"].to_numpy()
     flags = np.zeros(1 << SLOT_BITS, bool)
     flags[taken] = True
     packed = zstandard.ZstdCompressor(level=3).compress(np.packbits(flags).tobytes())
-    single, again = (rows.mapInArrow(_chosen(packed, x), rows.schema) for x in (False, True))
-    counted = single.select("t").unionByName(again.drop("slot").distinct().select("t"))
-    parts = shared.materialise(counted.mapInArrow(_suffixes(max_len), "suffix string, n long, firsts array<long>"), "p6-suffixes")
+    shape = T.StructType([T.StructField("suffix", T.StringType()), T.StructField("n", T.LongType()), T.StructField("firsts", T.ArrayType(T.LongType())), *rows.schema.fields])
+    arrow = _arrow(shape)
+    cut = shared.materialise(rows.mapInArrow(_cut(max_len, packed, arrow), shape), "p6-suffixes")
+    again = cut.where("t IS NOT NULL").select(*rows.columns).distinct().select("t")
+    more = again.mapInArrow(_cut(max_len, None, arrow), shape)
+    parts = cut.where("suffix IS NOT NULL").unionByName(more).select("suffix", "n", "firsts")
     first, second = F.substring_index("suffix", SEP, 1), F.substring_index("suffix", SEP, 2)
     ranged = parts.repartitionByRange(first.desc(), second.desc(), F.col("suffix").desc()).sortWithinPartitions(F.col("suffix").desc())
     counts = ranged.mapInArrow(_stack, "gram string, len int, occurrences long, records long")
