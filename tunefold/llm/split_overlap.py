@@ -217,7 +217,7 @@ def _build(key, frame):
     return pd.DataFrame({"shard": [int(key[0])], "sks": [b"".join(frame["sk"])], "blob": [pack_index(index)]})
 
 
-def _search(uri: str, share: float, whole: bool):
+def _search(uri: str, share: float):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -252,9 +252,6 @@ def _search(uri: str, share: float, whole: bool):
                 q, e = m[0][cut], m[1][cut]
                 n, i, j = np.add.reduceat(m[2], cut), np.maximum.reduceat(m[3], cut), np.maximum.reduceat(m[4], cut)
                 a, c = own[q], index["sizes"][e].astype("i8")
-                if whole:
-                    able = n + np.minimum(a - i, c - j) - 1 >= share / (1 + share) * (a + c) - 1e-9
-                    q, e, n, i, j, a, c = (x[able] for x in (q, e, n, i, j, a, c))
                 yield pa.record_batch([pa.array([sk[mine[x]] for x in q], pa.binary()), pa.array([keys[16 * x : 16 * x + 16] for x in e.tolist()], pa.binary()), *(pa.array(x.astype("i8")) for x in (n, i, j, a, c))], names=["sk_a", "sk_b", "n", "i", "j", "size_a", "size_b"])
 
     return run
@@ -291,20 +288,17 @@ def overlaps(df: DataFrame, rec: str = "rec_id", title: str = "input_text", sequ
     tokens = evals.agg(F.sum(F.size("codes") - F.ceil(F.size("codes") * F.lit(similarity)) + 1).alias("n")).first()["n"] or 0
     classes = max(1, -(-int(tokens) // SHARD_TOKENS))
     subs = [1] * classes
-    if classes > 1:
-        routed = evals.mapInArrow(_route(counts, similarity, classes, subs, False), ROUTED)
-        for r in routed.groupBy("shard").agg(F.sum(F.size("toks")).alias("n")).collect():
-            subs[r["shard"]] = max(1, -(-r["n"] // SHARD_TOKENS))
+    routed = evals.mapInArrow(_route(counts, similarity, classes, subs, False), ROUTED)
+    for r in routed.groupBy("shard").agg(F.sum(F.size("toks")).alias("n")).collect():
+        subs[r["shard"]] = max(1, -(-r["n"] // SHARD_TOKENS))
     routed = evals.mapInArrow(_route(counts, similarity, classes, subs, False), ROUTED)
     uri = shared.write_table(routed.groupBy("shard").applyInPandas(_build, "shard int, sks binary, blob binary"), "p5-index", "shard")
 
     queries = trains.mapInArrow(_route(counts, similarity, classes, subs, True), ROUTED)
-    if classes > 1:
-        queries = queries.repartition("shard", F.pmod(F.xxhash64("sk"), F.lit(16)))
-    pairs = queries.mapInArrow(_search(uri, similarity, classes == 1), "sk_a binary, sk_b binary, n long, i long, j long, size_a long, size_b long")
-    if classes > 1:
-        pairs = pairs.groupBy("sk_a", "sk_b").agg(F.sum("n").alias("n"), F.max("i").alias("i"), F.max("j").alias("j"), F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"))
-        pairs = pairs.where(F.col("n") + F.least(F.col("size_a") - F.col("i"), F.col("size_b") - F.col("j")) - 1 >= F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - 1e-9)
+    queries = queries.repartition("shard", F.pmod(F.xxhash64("sk"), F.lit(16)))
+    pairs = queries.mapInArrow(_search(uri, similarity), "sk_a binary, sk_b binary, n long, i long, j long, size_a long, size_b long")
+    pairs = pairs.groupBy("sk_a", "sk_b").agg(F.sum("n").alias("n"), F.max("i").alias("i"), F.max("j").alias("j"), F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"))
+    pairs = pairs.where(F.col("n") + F.least(F.col("size_a") - F.col("i"), F.col("size_b") - F.col("j")) - 1 >= F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - 1e-9)
     pairs = shared.materialise(pairs.select("sk_a", "sk_b", "size_a", "size_b"), "p5-pairs")
     one, two = trains.select(F.col("sk").alias("sk_a"), F.col("codes").alias("ca")), evals.select(F.col("sk").alias("sk_b"), F.col("codes").alias("cb"))
     met = pairs.join(one, "sk_a").join(two, "sk_b").select("sk_a", "sk_b", F.size(F.array_intersect("ca", "cb")).alias("shared"), (F.col("size_a") + F.col("size_b")).alias("both"))
