@@ -3,7 +3,7 @@ import importlib
 import pytest
 from compare import check
 
-MODULES = [importlib.import_module(f"tunefold.plans.{m}") for m in ("general_queries", "playlist_queries", "semantic_queries", "model_queries")]
+MODULES = [importlib.import_module(f"tunefold.plans.{m}") for m in ("general_queries", "playlist_queries", "file_queries", "semantic_queries", "model_queries")]
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 

@@ -70,6 +70,11 @@ def first_level_index(ids: DataFrame) -> DataFrame:
     return ids.groupBy(F.col("semantic_ids")[0].alias("l1")).agg(F.count("*").alias("songs"))
 
 
+def first_level_songs(ids: DataFrame) -> DataFrame:
+    """(l1, song_id): the songs of each first level, as rows, since a level may hold any number of them."""
+    return ids.select(F.col("semantic_ids")[0].alias("l1"), "song_id")
+
+
 def votes(spark: SparkSession, path: str) -> DataFrame:
     """``query<TAB>song:vote,...``; a line without exactly two fields and malformed elements are left out."""
     rows = _fields(spark, path, "\t").where("size(f) = 2")

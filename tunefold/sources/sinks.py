@@ -11,9 +11,16 @@ from pyspark.sql import functions as F
 from tunefold.config import HierarchyConfig
 
 
+def tab_separated(df: DataFrame, path: str, header: bool = False, partition_by: str | None = None) -> None:
+    """Fields as they are, without quotes; null and empty both become nothing."""
+    w = df.write.mode("overwrite").option("sep", "\t").option("quote", "").option("header", header).option("emptyValue", "")
+    w = w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    (w.partitionBy(partition_by) if partition_by else w).csv(path)
+
+
 def corpus_text(lists: DataFrame, path: str) -> None:
     """(playlist_id, songs): lines and ids stay together, in two columns of one file set."""
-    lists.select("playlist_id", F.array_join("songs", " ").alias("line")).write.mode("overwrite").option("sep", "\t").option("quote", "").csv(path)
+    tab_separated(lists.select("playlist_id", F.array_join("songs", " ").alias("line")), path)
 
 
 def vectors_csv(vectors: DataFrame, path: str, frequency: DataFrame | None = None) -> None:
@@ -37,11 +44,11 @@ def summary(one_row: DataFrame, path: str) -> None:
 
 def splits(corpus: DataFrame, path: str) -> None:
     """(glid, title, output_sequence, split) as tab-separated files, one folder per split."""
-    corpus.select("glid", "title", "output_sequence", "split").write.mode("overwrite").partitionBy("split").option("sep", "\t").option("quote", "").csv(path)
+    tab_separated(corpus.select("glid", "title", "output_sequence", "split"), path, partition_by="split")
 
 
 def pairs(rows: DataFrame, path: str) -> None:
-    rows.select("text", "song_id", "label").write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    tab_separated(rows.select("text", "song_id", "label"), path, header=True)
 
 
 def frequency_csv(frequency: DataFrame, path: str) -> None:
