@@ -20,6 +20,15 @@ def p1_tag_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags.groupBy("tag").agg(F.count("*").alias("occurrences"), F.countDistinct("row_id").alias("rows_with_tag"))
 
 
+def p1_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that hold separators, packed in quotes by another rule in each row, come out whole."""
+    info = spark.read.parquet(f"{sf_dir}/gen_playlist_info.parquet")
+    a, b, c = (F.coalesce(F.regexp_replace(x, r"[\"\\\\]", ""), F.lit("none")) for x in ("listname", "creator", "nickname"))
+    one, two = F.concat(F.lit("x "), a, F.lit("; "), b, F.lit(" y")), F.concat(F.lit("x|"), c, F.lit(", y"))
+    field = F.concat(F.lit('"'), one, F.lit('"'), F.element_at(F.array(F.lit(", "), F.lit(";"), F.lit(" | ")), (F.pmod("row_id", F.lit(3)) + 1).cast("int")), F.lit('"'), two, F.lit('"'))
+    return split_packed(info.select("row_id", field.alias("packed")), "packed", ["row_id"], "tag_pos", "tag")
+
+
 def p4_song_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/gen_playlist_song.parquet")
     return per_key(rows, "song_id", "playlist_id", "ingested_at")
@@ -41,9 +50,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heavy[0].unionByName(heavy[1])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tag_frequency, p4_song_stats, p4_creator_stats, p4_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tag_frequency, p1_round_trip, p4_song_stats, p4_creator_stats, p4_found)}
+
+_BARE = "coalesce(regexp_replace({}, '[\"\\\\]', '', 'g'), 'none')"
 
 SQL = {
+    "p1_round_trip": f"""SELECT row_id, 0 AS tag_pos, 'x ' || {_BARE.format("listname")} || '; ' || {_BARE.format("creator")} || ' y' AS tag FROM gen_playlist_info
+        UNION ALL SELECT row_id, 1, 'x|' || {_BARE.format("nickname")} || ', y' FROM gen_playlist_info""",
     "p4_song_stats": """
         SELECT song_id AS key_value, count(*) AS n_rows,
                count(DISTINCT coalesce('=' || playlist_id, '')) AS n_groups,

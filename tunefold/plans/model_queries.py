@@ -92,9 +92,13 @@ def hierarchy_predict(s, d):
 
 
 def stream_scoring(s, d):
+    _, centers, allowed = C.fit_hierarchy(points(s, d).select("song_id", "v"), SMALL)
+    return _scored(s, d, centers, allowed)
+
+
+def _scored(s, d, centers, allowed):
     from tunefold.streaming.scoring import score_available
 
-    _, centers, allowed = C.fit_hierarchy(points(s, d).select("song_id", "v"), SMALL)
     path = f"{d}/embeddings.parquet"
     whole = os.path.isdir(path)
     reader = s.readStream.schema(_t(s, d, "embeddings").schema)
@@ -103,6 +107,49 @@ def stream_scoring(s, d):
     return score_available(stream, centers, allowed, SMALL)
 
 
+def stream_check(s, d):
+    """Songs scored as a stream, and how many of them get the id that a table gives."""
+    _, centers, allowed = C.fit_hierarchy(points(s, d).select("song_id", "v"), SMALL)
+    table = C.predict(points(s, d).select("song_id", "v"), centers, allowed, SMALL)
+    both = _scored(s, d, centers, allowed).join(table.select("song_id", *[F.col(c).alias(f"t{c}") for c in ("l1", "l2", "l3")]), "song_id", "left")
+    return both.agg(F.count("*").alias("songs"), F.count_if((F.col("l1") == F.col("tl1")) & (F.col("l2") == F.col("tl2")) & (F.col("l3") == F.col("tl3"))).alias("same"))
+
+
+def hierarchy_check(s, d):
+    """What every fitted hierarchy keeps: each song once, all levels in range, no more slots in a group than needed."""
+    out, centers, allowed = C.fit_hierarchy(points(s, d).select("song_id", "v"), SMALL)
+    need = SMALL.need_clusters
+    kept = out.agg(
+        F.count("*").alias("songs"), F.count_distinct("song_id").alias("distinct_songs"),
+        *[F.count_if((F.col(f"l{i + 1}") < 0) | (F.col(f"l{i + 1}") >= need[i])).alias(f"outside_{i + 1}") for i in range(3)],
+    )
+    groups = allowed.groupBy("l1", "l2").agg(F.count("*").alias("n"), F.count_distinct("candidate").alias("m"))
+    wide = groups.agg(F.count_if((F.col("n") > need[2]) | (F.col("n") != F.col("m"))).alias("wide_groups"))
+    layers = centers.groupBy("layer", "parent").agg(F.count("*").alias("n"))
+    many = layers.agg(F.count_if(F.col("n") > F.when(F.col("layer") == 1, need[0]).when(F.col("layer") == 2, need[1]).otherwise(2 * SMALL.layer_clusters[2])).alias("wide_layers"))
+    return kept.join(wide).join(many)
+
+
+def balance_check(s, d):
+    """A balanced assignment: every vector once, no cluster above its share."""
+    import numpy as np
+    import pandas as pd
+
+    def run(f):
+        x = np.stack(f["v"].to_numpy()).astype("f8")
+        a = C.auction(-C.distances(x, C.kmeans(x, 8, 10, balanced=True)))
+        n = np.bincount(a, minlength=8)
+        return pd.DataFrame({"vectors": [len(x)], "clusters": [int((n > 0).sum())], "over": [int((n > -(-len(x) // 8)).sum())]})
+
+    return points(s, d).groupBy().applyInPandas(run, "vectors long, clusters long, over long")
+
+
+def quantization_check(s, d):
+    """Songs of each level of the plain quantization, and slots outside the codebook."""
+    out = C.residual_quantization(points(s, d).select("song_id", "v"), DIM, [8, 8, 8])
+    return out.groupBy("level").agg(F.count("*").alias("songs"), F.count_distinct("song_id").alias("distinct_songs"), F.count_if((F.col("slot") < 0) | (F.col("slot") >= 8)).alias("outside"))
+
+
 def residual_quantization(s, d):
     return C.residual_quantization(points(s, d).select("song_id", "v"), DIM, [8, 8, 8])
 
@@ -147,7 +194,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         *map(_statement, STATEMENTS), hard_negatives, ranker_pairs, random_negative_check, missing_vectors, kmeans_balanced, hierarchy_ids, hierarchy_predict, stream_scoring,
-        residual_quantization, soft_dtw_pairs, plane, word_vectors, generated_candidates, ranker_metrics,
+        stream_check, hierarchy_check, balance_check, quantization_check, residual_quantization, soft_dtw_pairs, plane, word_vectors, generated_candidates, ranker_metrics,
     )
 }
 
@@ -161,6 +208,18 @@ SQL = {
         fr AS (SELECT * FROM dr WHERE NOT EXISTS (SELECT 1 FROM pos q WHERE q.playlist_id = dr.playlist_id AND q.song_id = dr.negative))
         SELECT playlist_id, text, song_id, negative FROM (SELECT *, row_number() OVER (PARTITION BY playlist_id, song_id ORDER BY md5(playlist_id || '|' || song_id || '|' || negative), negative) AS r FROM fr) WHERE r <= 2""",
     "ranker_pairs": BASE + _POS + " SELECT playlist_id, count(*) AS positives, count(s.song_id) AS negatives FROM pos LEFT JOIN sid s USING (song_id) GROUP BY playlist_id",
+    "random_negative_check": "SELECT 0 AS inside",
+    "hierarchy_predict": "SELECT count(*) AS songs, count(*) AS same FROM embeddings",
+    "stream_check": "SELECT count(*) AS songs, count(*) AS same FROM embeddings",
+    "hierarchy_check": "SELECT count(*) AS songs, count(DISTINCT vec_id) AS distinct_songs, 0 AS outside_1, 0 AS outside_2, 0 AS outside_3, 0 AS wide_groups, 0 AS wide_layers FROM embeddings",
+    "balance_check": "SELECT count(*) AS vectors, 8 AS clusters, 0 AS over FROM embeddings",
+    "quantization_check": "SELECT unnest([0, 1, 2]) AS level, count(*) AS songs, count(DISTINCT vec_id) AS distinct_songs, 0 AS outside FROM embeddings",
+    "generated_candidates": BASE
+    + r""", words AS (SELECT DISTINCT rec_id, split, word FROM (SELECT rec_id, split, unnest(regexp_split_to_array(lower(input_text), '\s+')) AS word FROM generator_corpus)),
+        counted AS (SELECT word, l1, l2, l3, count(*) AS n FROM words JOIN tri USING (rec_id) WHERE split = 'train' AND word <> '' GROUP BY ALL),
+        summed AS (SELECT w.rec_id, l1, l2, l3, sum(n) AS n FROM words w JOIN counted c ON w.word = c.word WHERE w.split = 'test' GROUP BY ALL),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY n DESC, l1, l2, l3) - 1 AS place FROM summed)
+        SELECT rec_id AS key, place, l1, l2, l3 FROM placed WHERE place < 20""",
     "missing_vectors": BASE
     + """, v AS (SELECT DISTINCT ON (song_id) song_id, v FROM song_vectors WHERE len(v) = 512), u AS (SELECT DISTINCT song_id FROM ps)
         SELECT coalesce(len(list_filter(v, lambda x: x IS NULL OR x <> 0)) = 0, true) AS zeros, count(*) AS songs FROM u LEFT JOIN v USING (song_id) GROUP BY 1""",
