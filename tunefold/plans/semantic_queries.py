@@ -63,7 +63,7 @@ def seed_centroid(s, d):
 
 
 def seed_centroid_topk(s, d):
-    seeds = _t(s, d, "events").select(F.col("event_type").alias("query"), F.get_json_object("props", "$.k").alias("song_id")).where("CAST(song_id AS INT) % 7 = length(query) % 7").distinct()
+    seeds = _t(s, d, "events").select(F.col("event_type").alias("query"), F.get_json_object("props", "$.k").alias("song_id")).distinct()
     c = R.seed_centroids(seeds, points(s, d).select("song_id", "v"))
     skip = seeds.groupBy("query").agg(F.collect_set("song_id").alias("skip"))
     return R.top_k(c.join(skip, "query"), points(s, d), 20, DIM).withColumn("score", F.round("score", 6))
@@ -169,8 +169,9 @@ def primary_and_similar(s, d):
 
 
 def invalid_ids(s, d):
-    """Ids of the corpus that no song with an even number has."""
-    return S.invalid(generated(s, d), ids(s, d).where("CAST(song_id AS BIGINT) % 2 = 0"))
+    """Ids of the corpus that no song with a vector has."""
+    have = _t(s, d, "song_vectors").where("v IS NOT NULL").select(F.trim("song_id").alias("song_id"))
+    return S.invalid(generated(s, d), ids(s, d).join(have, "song_id", "left_semi"))
 
 
 def unknown_ids(s, d):
@@ -259,7 +260,7 @@ SQL = {
     "seed_centroid_topk": _P
     + ", "
     + _SEEDS
-    + """, sd AS (SELECT * FROM seeds WHERE vec_id % 7 = length(query) % 7), e AS (SELECT query, unnest(v) AS x, unnest(range(len(v))) AS k FROM sd JOIN p USING (vec_id)),
+    + """, sd AS (SELECT * FROM seeds), e AS (SELECT query, unnest(v) AS x, unnest(range(len(v))) AS k FROM sd JOIN p USING (vec_id)),
         m AS (SELECT query, k, avg(x) AS x FROM e GROUP BY query, k), cv AS (SELECT query, list(x ORDER BY k) AS v FROM m GROUP BY query)
         SELECT query, CAST(r AS INTEGER) AS rank, song_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, song_id) AS r FROM
         (SELECT query, CAST(vec_id AS VARCHAR) AS song_id, round(list_cosine_similarity(cv.v, p.v), 9) AS s FROM cv, p WHERE NOT EXISTS (SELECT 1 FROM sd WHERE sd.query = cv.query AND sd.vec_id = p.vec_id))) WHERE r <= 20""",
@@ -303,7 +304,8 @@ SQL = {
     + """, r AS (SELECT key, l1, l2, l3, count(*) AS n, min(place) AS first FROM g JOIN known USING (l1, l2, l3) GROUP BY 1, 2, 3, 4),
         t AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, first) AS rank FROM r), m AS (SELECT l1, l2, l3, count(*) AS cluster_size, list(song_id ORDER BY song_id) AS s FROM sid GROUP BY 1, 2, 3)
         SELECT key, CAST(rank AS INTEGER) AS rank, l1, l2, l3, n, cluster_size, s[1] AS "primary", array_to_string(s[2:6], ' ') AS similar FROM t JOIN m USING (l1, l2, l3) WHERE rank <= 10""",
-    "invalid_ids": _G + "SELECT key, count(*) AS invalid FROM g WHERE NOT EXISTS (SELECT 1 FROM sid s WHERE s.l1 = g.l1 AND s.l2 = g.l2 AND s.l3 = g.l3 AND CAST(s.song_id AS BIGINT) % 2 = 0) GROUP BY key",
+    "invalid_ids": _G + "SELECT key, count(*) AS invalid FROM g WHERE NOT EXISTS (SELECT 1 FROM sid s WHERE s.l1 = g.l1 AND s.l2 = g.l2 AND s.l3 = g.l3 AND s.song_id IN (SELECT trim(song_id) FROM song_vectors WHERE v IS NOT NULL)) GROUP BY key",
+    "unknown_ids": _G + "SELECT key, count(*) AS invalid FROM g WHERE NOT EXISTS (SELECT 1 FROM sid s WHERE s.l1 = g.l1 AND s.l2 = g.l2 AND s.l3 = g.l3) GROUP BY key",
     "unknown_ids": _G + "SELECT key, count(*) AS invalid FROM g WHERE NOT EXISTS (SELECT 1 FROM known s WHERE s.l1 = g.l1 AND s.l2 = g.l2 AND s.l3 = g.l3) GROUP BY key",
     "constrained_mask": _G
     + """, f AS (SELECT key, [l1, l2, l3][1:key % 4] AS prefix FROM g WHERE place = 0), x AS (SELECT key, prefix, array_to_string(prefix, ',') AS p FROM f),
