@@ -17,7 +17,7 @@ from tunefold.llm import cooccurrence, lookalikes, mixing, mojibake, packing, qu
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_against_sql(spark, data, name):
-    check(spark, data, name, queries.QUERIES[name], queries.SQL[name])
+    check(spark, f"{data}/../sf0.01", name, queries.QUERIES[name], queries.SQL[name])
 
 
 # ---------------------------------------------------------------- problem 2
