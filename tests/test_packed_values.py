@@ -65,3 +65,11 @@ def test_rows(spark):
     got = sorted(tuple(r) for r in split_packed(df, "tags", ["row_id"], "tag_pos", "tag").collect())
     assert got == [(1, 0, "a"), (1, 0, "a"), (1, 1, "b"), (1, 1, "b")]
     assert split_packed(df.limit(0), "tags", ["row_id"]).count() == 0
+
+
+def test_own_delimiters(spark):
+    from tunefold.operators.packed_values import split_packed
+
+    df = spark.createDataFrame([(1, "a~b,c~ d"), (2, None)], "k long, f string")
+    got = [(r["pos"], r["value"]) for r in split_packed(df, "f", ["k"], delimiters="~").orderBy("pos").collect()]
+    assert got == [(0, "a"), (1, "b,c"), (2, "d")]

@@ -61,3 +61,23 @@ def test_all_seeds_and_all_known_ids(spark, data):
     known = {tuple(r) for r in P.ids(spark, data).select("l1", "l2", "l3").collect()}
     want = sum((r["l1"], r["l2"], r["l3"]) not in known for r in Q.generated(spark, data).collect())
     assert (Q.unknown_ids(spark, data).agg(F.sum("invalid")).first()[0] or 0) == want
+
+
+def test_more_queries_than_a_pass_holds(spark, monkeypatch):
+    import numpy as np
+
+    from tunefold.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "QUERIES", 7)
+    g = np.random.default_rng(2)
+    rows = [(f"s{i:02d}", g.normal(size=6).tolist()) for i in range(40)]
+    df = spark.createDataFrame(rows, "song_id string, v array<double>").repartition(3)
+    q = df.select(F.col("song_id").alias("query"), "v", F.array("song_id").alias("skip"))
+    got = {}
+    for r in retrieval.top_k(q, df, 3, 6).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append(r["song_id"])
+    m = np.array([v for _, v in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    s = m @ m.T
+    np.fill_diagonal(s, -9)
+    assert got == {rows[i][0]: [rows[j][0] for j in np.argsort(-s[i])[:3]] for i in range(40)}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tunefold import shared
 from tunefold.config import HierarchyConfig, iteration_limit
 
-SAMPLE_LIMIT = 200_000
+SAMPLE_LIMIT = 50_000
 
 # ---------------------------------------------------------------- quality
 
@@ -30,16 +30,37 @@ def calinski_harabasz(df: DataFrame) -> DataFrame:
 
 
 def davies_bouldin(df: DataFrame) -> DataFrame:
-    """One row: mean over labels of the worst (s_i + s_j) / d_ij."""
+    """One row: mean over labels of the worst (s_i + s_j) / d_ij. The labels' centers meet each other in blocks."""
     from tunefold.functions import vectors as V
 
     _, m = _parts(df)
     centers = m.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("k", "m")))["m"].alias("c"))
-    s = df.join(F.broadcast(centers), "label").groupBy("label").agg(F.avg(V.euclidean("v", "c")).alias("s"))
-    have = centers.join(s, "label")  # one row per label
-    a, b = have.select(F.col("label").alias("i"), F.col("c").alias("ci"), F.col("s").alias("si")), have.select(F.col("label").alias("j"), F.col("c").alias("cj"), F.col("s").alias("sj"))
-    worst = a.join(b, F.col("i") != F.col("j")).groupBy("i").agg(F.max((F.col("si") + F.col("sj")) / V.euclidean("ci", "cj")).alias("r"))
-    return worst.agg(F.round(F.avg("r"), 6).alias("davies_bouldin"))
+    s = df.join(centers, "label").groupBy("label").agg(F.avg(V.euclidean("v", "c")).alias("s"))
+    have = centers.join(s, "label").select(F.monotonically_increasing_id().alias("i"), "c", "s")  # one row per label
+    uri = shared.write_table(have, "davies-bouldin")
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        data = shared.open_dataset(uri)
+        for f in batches:
+            if not len(f):
+                continue
+            q, own, spread = np.stack(f["c"].to_numpy()).astype("f8"), f["i"].to_numpy(), f["s"].to_numpy()
+            worst = np.full(len(q), -np.inf)
+            for b in data.to_batches(batch_size=4096):
+                if not b.num_rows:
+                    continue
+                c = b.column("c").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                with np.errstate(divide="ignore"):
+                    r = (spread[:, None] + b.column("s").to_numpy()[None]) / distances(q, c)
+                r[own[:, None] == b.column("i").to_numpy()[None]] = -np.inf
+                worst = np.maximum(worst, r.max(1))
+            yield pd.DataFrame({"r": worst[np.isfinite(worst)]})
+
+    again = df.sparkSession.read.schema(have.schema).parquet(uri)
+    return again.mapInPandas(run, "r double").agg(F.round(F.avg("r"), 6).alias("davies_bouldin"))
 
 
 def silhouette(df: DataFrame, dim: int) -> DataFrame:
@@ -90,9 +111,9 @@ def distances(x, c):
     return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * x @ c.T, 0))
 
 
-def auction(score, rounds: int = 1000):
+def auction(score, rounds: int = 200):
     """Balanced assignment of rows (jobs) to columns (workers) by auction: every worker gets at most ceil(N / K) jobs.
-    Each round every worker bids on its best jobs above the next one's value; what the rounds leave over is placed by
+    Each of at most ``rounds`` rounds every worker bids on its best jobs above the next one's value; what the rounds leave over is placed by
     best free score, so that every job is placed once and no worker exceeds its share."""
     import numpy as np
 
@@ -101,10 +122,10 @@ def auction(score, rounds: int = 1000):
         return score.argmax(1)
     each, most = n // k, -(-n // k)
     value = score.T.astype("f8").copy()
-    eps = max((value.max() - value.min()) / 50, 1e-4)
+    eps = max((value.max() - value.min()) / 50, 1e-4)  # fixed values: the bid's least step
     cost = np.zeros(n)
     owner = np.full(n, -1)
-    for _ in range(min(rounds, 200)):
+    for _ in range(rounds):
         v = value - cost
         held = np.flatnonzero(owner >= 0)
         v[owner[held], held] = value[owner[held], held]
@@ -220,15 +241,37 @@ def pick_candidates(points, candidates, need: int, seed: int = 42):
 # ---------------------------------------------------------------- the hierarchy, on tables
 
 
-def _fit_groups(points: DataFrame, group: list[str], run, schema: str) -> DataFrame:
-    return points.groupBy(*group).applyInPandas(run, schema)
+def layer_weights(config: HierarchyConfig, layer: int) -> list[float]:
+    """A layer's weight of every dimension."""
+    return [w for g, w in zip(config.group_dims, config.weights[layer]) for _ in range(g)]
+
+
+class _Kept:
+    """Results of the fit in their order, in the shared folder or as checkpoints; what follows a new one is made anew."""
+
+    def __init__(self, spark, folder: str | None, resume: bool) -> None:
+        from tunefold.sources.sinks import Checkpoints
+
+        self.held = Checkpoints(spark, folder) if folder else None
+        self.old, self.next = self.held is not None and resume, 0
+
+    def __call__(self, name: str, make) -> DataFrame:
+        if self.held is None:
+            return shared.materialise(make(), f"hierarchy-{name}")
+        at, self.next = self.next, self.next + 1
+        self.old = self.old and self.held.complete(at)
+        if not self.old:
+            self.held.save(at, make())
+        return self.held.load(at)
 
 
-def fit_hierarchy(df: DataFrame, config: HierarchyConfig, sample_limit: int = SAMPLE_LIMIT, base_limit: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def fit_hierarchy(df: DataFrame, config: HierarchyConfig, sample_limit: int = SAMPLE_LIMIT, base_limit: int | None = None, checkpoint: str | None = None, resume: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(ids, centers, allowed) of a three-layer hierarchy over (song_id, v).
 
     * Centers of a layer, or of one parent, are fitted on at most about ``sample_limit`` of its vectors, taken by hash;
-      all vectors are assigned. Each layer's result is written to the shared folder, which is its checkpoint.
+      all vectors are assigned. Each layer has its own row of weights, by which its vectors are scaled group by group.
+    * Each layer's result is written: to the shared folder, or under ``checkpoint``. There a later call goes on after the
+      last layer that is complete, unless ``resume`` is false; what a layer builds on must not have changed.
     * ids (song_id, l1, l2, l3), centers (layer, parent, slot, center), allowed (l1, l2, candidate, slot): 0 <= l3 < need.
     * Null vectors and those of another width take no part. An empty table gives empty results.
     """
@@ -240,13 +283,13 @@ def fit_hierarchy(df: DataFrame, config: HierarchyConfig, sample_limit: int = SA
 
     dim, need = config.embedding_dim, config.need_clusters
     base = base_limit or config.iter_limit
-    weights = [w for row in config.weights[:1] for g, w in zip(config.group_dims, row) for _ in range(g)]
+    kept = _Kept(df.sparkSession, checkpoint, resume)
     src = df.select("song_id", F.col("v").cast("array<double>").alias("v")).where(f"size(v) = {dim}")
-    points = shared.materialise(src.withColumn("v", V.weighted("v", weights)), "hierarchy-0")
+    points = shared.materialise(src.withColumn("v", V.weighted("v", layer_weights(config, 0))), "hierarchy-0")
     n = points.count()
 
     def stack(f):
-        return np.stack(f["v"].to_numpy()).astype("f8")
+        return np.stack(f.sort_values("song_id")["v"].to_numpy()).astype("f8")  # the same fit in whatever order rows come
 
     def frame(c, **extra):
         return pd.DataFrame({**extra, "slot": range(len(c)), "center": [r.tolist() for r in c]})
@@ -261,10 +304,10 @@ def fit_hierarchy(df: DataFrame, config: HierarchyConfig, sample_limit: int = SA
     def first(key, f):
         return frame(least_overflow_kmeans(stack(f), need[0], t1, lim1, seed=config.seed))
 
-    c1 = shared.materialise(sample(points, sample_limit).groupBy(F.lit(0).alias("g")).applyInPandas(first, "slot int, center array<double>"), "hierarchy-c1")
+    c1 = kept("c1", lambda: sample(points, sample_limit).groupBy(F.lit(0).alias("g")).applyInPandas(first, "slot int, center array<double>"))
     a1 = S.nearest_centers(points, c1).withColumnRenamed("slot", "l1")
-    r1 = a1.join(F.broadcast(c1.withColumnRenamed("slot", "l1")), "l1").select("song_id", "l1", V.residual("v", "center", list(config.group_dims), config.normalize_residuals).alias("v"))
-    r1 = shared.materialise(r1, "hierarchy-1")
+    r1_ = a1.join(F.broadcast(c1.withColumnRenamed("slot", "l1")), "l1").select("song_id", "l1", V.residual("v", "center", list(config.group_dims), config.normalize_residuals).alias("v"))
+    r1 = kept("r1", lambda: r1_.withColumn("v", V.weighted("v", layer_weights(config, 1))))
 
     # layer 2: a fit in every parent; a large parent is fitted on a sample
     def second(key, f):
@@ -274,10 +317,10 @@ def fit_hierarchy(df: DataFrame, config: HierarchyConfig, sample_limit: int = SA
 
     sizes = r1.groupBy("l1").agg(F.count("*").alias("__n"))
     taken = r1.join(F.broadcast(sizes), "l1").where(F.pmod(F.xxhash64("song_id", F.lit(1)), F.lit(1_000_003)) <= F.least(F.lit(1.0), F.lit(float(sample_limit)) / F.col("__n")) * 1_000_003)
-    c2 = shared.materialise(taken.groupBy("l1").applyInPandas(second, "l1 int, slot int, center array<double>"), "hierarchy-c2")
+    c2 = kept("c2", lambda: taken.groupBy("l1").applyInPandas(second, "l1 int, slot int, center array<double>"))
     a2 = S.nearest_centers(r1, c2, ["l1"]).withColumnRenamed("slot", "l2")
-    r2 = a2.join(c2.withColumnRenamed("slot", "l2"), ["l1", "l2"]).select("song_id", "l1", "l2", V.residual("v", "center", list(config.group_dims), config.normalize_residuals).alias("v"))
-    r2 = shared.materialise(r2, "hierarchy-2")
+    r2_ = a2.join(c2.withColumnRenamed("slot", "l2"), ["l1", "l2"]).select("song_id", "l1", "l2", V.residual("v", "center", list(config.group_dims), config.normalize_residuals).alias("v"))
+    r2 = kept("r2", lambda: r2_.withColumn("v", V.weighted("v", layer_weights(config, 2))))
 
     # layer 3: two fits over all residuals give the candidates; each group may use ``need`` of them
     def third(key, f):
@@ -286,7 +329,7 @@ def fit_hierarchy(df: DataFrame, config: HierarchyConfig, sample_limit: int = SA
         c = np.concatenate([kmeans(x, k, 20, balanced=b, seed=config.seed + i) for i, b in ((0, True), (1, False))])
         return frame(c)
 
-    c3 = shared.materialise(sample(r2, sample_limit).groupBy(F.lit(0).alias("g")).applyInPandas(third, "slot int, center array<double>"), "hierarchy-c3")
+    c3 = kept("c3", lambda: sample(r2, sample_limit).groupBy(F.lit(0).alias("g")).applyInPandas(third, "slot int, center array<double>"))
     table = c3.orderBy("slot").collect()  # twice the last layer's clusters: fixed by the configuration
     book = np.array([r["center"] for r in table])
 
@@ -297,7 +340,7 @@ def fit_hierarchy(df: DataFrame, config: HierarchyConfig, sample_limit: int = SA
     groups = r2.withColumn("__r", F.pmod(F.xxhash64("song_id", F.lit(2)), F.lit(1_000_003)))
     group_sizes = r2.groupBy("l1", "l2").agg(F.count("*").alias("__n"))
     bounded = groups.join(group_sizes, ["l1", "l2"]).where(F.col("__r") <= F.least(F.lit(1.0), F.lit(float(sample_limit)) / F.col("__n")) * 1_000_003)
-    allowed = shared.materialise(bounded.groupBy("l1", "l2").applyInPandas(allow, "l1 int, l2 int, candidate int, slot int"), "hierarchy-allowed")
+    allowed = kept("allowed", lambda: bounded.groupBy("l1", "l2").applyInPandas(allow, "l1 int, l2 int, candidate int, slot int"))
     options = allowed.join(F.broadcast(c3.withColumnRenamed("slot", "candidate")), "candidate").select("l1", "l2", "slot", "center")
     ids = S.nearest_centers(r2, options, ["l1", "l2"]).select("song_id", "l1", "l2", F.col("slot").alias("l3"))
     centers = c1.select(F.lit(1).alias("layer"), F.lit(0).alias("parent"), "slot", "center").unionByName(c2.select(F.lit(2).alias("layer"), F.col("l1").alias("parent"), "slot", "center")).unionByName(c3.select(F.lit(3).alias("layer"), F.lit(0).alias("parent"), "slot", "center"))
@@ -309,17 +352,17 @@ def predict(df: DataFrame, centers: DataFrame, allowed: DataFrame, config: Hiera
     from tunefold.functions import vectors as V
     from tunefold.operators import semantic_ids as S
 
-    weights = [w for row in config.weights[:1] for g, w in zip(config.group_dims, row) for _ in range(g)]
-    x = df.select("song_id", F.col("v").cast("array<double>").alias("v")).where(f"size(v) = {config.embedding_dim}").withColumn("v", V.weighted("v", weights))
+    x = df.select("song_id", F.col("v").cast("array<double>").alias("v")).where(f"size(v) = {config.embedding_dim}")
     c1, c2, c3 = (centers.where(F.col("layer") == k) for k in (1, 2, 3))
     groups = list(config.group_dims)
 
-    def step(points, book, parent, name):
+    def step(points, book, parent, name, layer):
+        points = points.withColumn("v", V.weighted("v", layer_weights(config, layer)))
         a = S.nearest_centers(points, book, parent).withColumnRenamed("slot", name)
         return a.join(F.broadcast(book.withColumnRenamed("slot", name)) if not parent else book.withColumnRenamed("slot", name), [*(parent or []), name]).withColumn("v", V.residual("v", "center", groups, config.normalize_residuals)).drop("center", "d")
 
-    one = step(x, c1.select("slot", "center"), None, "l1")
-    two = step(one, c2.select(F.col("parent").alias("l1"), "slot", "center"), ["l1"], "l2")
+    one = step(x, c1.select("slot", "center"), None, "l1", 0)
+    two = step(one, c2.select(F.col("parent").alias("l1"), "slot", "center"), ["l1"], "l2", 1).withColumn("v", V.weighted("v", layer_weights(config, 2)))
     options = allowed.join(F.broadcast(c3.select(F.col("slot").alias("candidate"), "center")), "candidate").select("l1", "l2", "slot", "center")
     return S.nearest_centers(two, options, ["l1", "l2"]).select("song_id", "l1", "l2", F.col("slot").alias("l3"))
 

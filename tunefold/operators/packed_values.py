@@ -144,7 +144,7 @@ def _quoted(s: str, i: int, end: int, q: str, in_list: bool, buf: list[str]) ->
     return end + 1
 
 
-def _values(fields: pd.Series) -> pd.Series:
+def _values(fields: pd.Series, delimiters: str, marks: str) -> pd.Series:
     seen: dict[str, list[str]] = {}  # within one Arrow batch only
     out = []
     for x in fields:
@@ -153,19 +153,23 @@ def _values(fields: pd.Series) -> pd.Series:
             continue
         got = seen.get(x)
         if got is None:
-            got = seen[x] = tokenize_packed(x)
+            got = seen[x] = tokenize_packed(x, delimiters, marks)
         out.append(got)
     return pd.Series(out)
 
 
-def split_packed(df: DataFrame, field: str | Column, keys: list[str], pos: str = "pos", value: str = "value") -> DataFrame:
+def split_packed(df: DataFrame, field: str | Column, keys: list[str], pos: str = "pos", value: str = "value", delimiters: str = DELIMITERS, marks: str = MARKS) -> DataFrame:
     """One row per value: the key columns, the place among the field's values (from 0) and the value.
 
     Only the keys and the field are read, so columns of ``df`` that are named like the result's don't clash. A null or
-    empty field gives no row; repeated rows give their values again.
+    empty field gives no row; repeated rows give their values again. ``delimiters`` and ``marks`` are single characters.
     """
     column = F.col(field) if isinstance(field, str) else field
     slim = df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], column.alias("__field")).where("length(trim(__field)) > 0")
-    packed_values = F.pandas_udf(_values, T.ArrayType(T.StringType()))
+
+    def values(fields: pd.Series) -> pd.Series:
+        return _values(fields, delimiters, marks)
+
+    packed_values = F.pandas_udf(values, T.ArrayType(T.StringType()))
     parts = slim.select(*[f"__k{i}" for i in range(len(keys))], F.posexplode(packed_values("__field")).alias("__pos", "__value"))
     return parts.select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)], F.col("__pos").cast("int").alias(pos), F.col("__value").alias(value))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tunefold import shared
 
 BLOCK = 2048
+QUERIES = 65_536
 
 
 def _leading(names, scores, k: int):
@@ -75,11 +76,18 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, dim: int, metric: str
     """(query, rank, song_id, score) of the k best rows per query; ties at nine decimals go to the smaller id.
 
     ``queries`` has (query, v, skip): skip lists ids that mustn't come out. ``vectors`` has (song_id, v). Vectors of another
-    width take no part. Per partition of the collection only k rows per query leave the task.
+    width take no part. Per partition of the collection only k rows per query leave the task, and a task holds at most
+    about ``QUERIES`` queries: more of them make more passes over the collection.
     """
     fits = f"size(v) = {dim}"
-    uri = shared.write_table(queries.where(fits).select(F.col("query").cast("string"), F.col("v").cast("array<double>").alias("v"), F.col("skip").cast("array<string>").alias("skip")), "queries")
-    found = vectors.where(fits).select(F.col("song_id").cast("string"), F.col("v").cast("array<double>").alias("v")).mapInArrow(_search(uri, k, dim, metric), "query string, song_id string, score double")
+    asked = shared.materialise(queries.where(fits).select(F.col("query").cast("string"), F.col("v").cast("array<double>").alias("v"), F.col("skip").cast("array<string>").alias("skip")), "queries")
+    passes = max(1, -(-asked.count() // QUERIES))
+    uri = shared.write_table(asked.withColumn("pass", F.pmod(F.xxhash64("query"), F.lit(passes)).cast("int")).repartition("pass"), "query-passes", "pass")
+    slim = vectors.where(fits).select(F.col("song_id").cast("string"), F.col("v").cast("array<double>").alias("v"))
+    parts = [slim.mapInArrow(_search(f"{uri}/pass={i}", k, dim, metric), "query string, song_id string, score double") for i in range(passes)]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
     w = Window.partitionBy("query").orderBy(F.desc("score"), "song_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "song_id", "score")
 
@@ -103,19 +111,22 @@ def _search_clusters(uri: str, k: int, dim: int):
             n = np.sqrt((m * m).sum(1, keepdims=True))
             return m / np.where(n > 0, n, 1)
 
+        held: dict[int, object] = {}
         for b in batches:
             names, v = np.array(b.column(0).to_pylist(), dtype=object), matrix(b.column(1)) if b.num_rows else None
             own = np.array(b.column(2).to_pylist())
             rows = []
             for c in np.unique(own).tolist():
-                data = shared.open_dataset(f"{uri}/cluster={c}")
+                if c not in held:
+                    held[c] = shared.open_dataset(f"{uri}/cluster={c}")
+                data = held[c]
                 at = np.flatnonzero(own == c)
                 for q in data.to_batches(columns=["query", "v"], batch_size=BLOCK) if data else ():
                     if not q.num_rows:
                         continue
                     s = np.round(matrix(q.column("v")) @ v[at].T, 9)
                     for i, name in enumerate(q.column("query").to_pylist()):
-                        near = np.lexsort((names[at], -s[i]))[: k + 1]
+                        near = _leading(names[at], s[i], k + 1)
                         rows += [(name, names[at[j]], float(s[i, j])) for j in near if names[at[j]] != name][:k]
             cols = list(zip(*rows)) or [(), (), ()]
             yield pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], names=["query", "song_id", "score"])

@@ -173,7 +173,7 @@ def plane(s, d):
 
 
 def word_vectors(s, d):
-    return K.skip_gram_vectors(P.as_lists(rows(s, d), 10, 300), 16).select("song_id", F.size("v").alias("width"))
+    return K.skip_gram_vectors(P.as_lists(rows(s, d), 10, 300), 16)
 
 
 def generated_candidates(s, d):
@@ -184,8 +184,8 @@ def generated_candidates(s, d):
 
 def ranker_metrics(s, d):
     """Held-out accuracy, precision, recall and F1 of the baseline ranker: nine of ten pairs train, by hash."""
-    v = _t(s, d, "song_vectors").where("size(v) = 512").select("song_id", F.slice("v", 1, 32).cast("array<double>").alias("v")).where(~F.exists("v", lambda x: x.isNull() | F.isnan(x))).dropDuplicates(["song_id"])
-    p = K.with_vectors(K.pairs(rows(s, d), info(s, d), ids(s, d), 1), v, 32).withColumn("part", F.pmod(F.xxhash64("playlist_id", "song_id", "label"), F.lit(10)))
+    v = _t(s, d, "song_vectors").where("size(v) = 512").select("song_id", F.col("v").cast("array<double>").alias("v")).where(~F.exists("v", lambda x: x.isNull() | F.isnan(x))).dropDuplicates(["song_id"])
+    p = K.with_vectors(K.pairs(rows(s, d), info(s, d), ids(s, d), 1), v, 512).withColumn("part", F.pmod(F.xxhash64("playlist_id", "song_id", "label"), F.lit(10)))
     model = K.LogisticRanker(1 << 10).fit(p.where("part > 0"))
     return E.binary_metrics(model.score(p.where("part = 0")).select("score", "label"))
 
