@@ -42,7 +42,7 @@ def p4_creator_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     songs = spark.read.parquet(f"{sf_dir}/gen_playlist_song.parquet")
     infos = spark.read.parquet(f"{sf_dir}/gen_playlist_info.parquet")
-    trimmed = songs.withColumn("song_id", F.expr(r"regexp_replace(song_id, '^\\s+|\\s+$', '')"))
+    trimmed = songs.withColumn("song_id", F.trim("song_id", F.lit(" \t\n\x0b\f\r")))
     heavy = []
     for name, table, key, group, at in (("song_id", trimmed, "song_id", "playlist_id", "ingested_at"), ("creator", infos, "creator", "glid", "updated_at")):
         found = heavy_keys(per_key(table, key, group, at), table.count())
