@@ -133,9 +133,9 @@ def test_visit_order():
     want = np.argsort(d1[rows] + d2[cols])
     for entries in (1, 50, None):
         n = len(cells) if entries is None else min(int(np.searchsorted(np.cumsum(sizes[want]), entries)) + 1, len(cells))
-        got = vector_neighbors.visit_order(held, d1, d2, np.argsort(d1), np.argsort(d2), entries)
-        assert got.tolist() == want[:n].tolist()
-        assert not held.met.any()
+        for front in (20, 3):
+            got = vector_neighbors.visit_order(held, d1, d2, np.argsort(d1)[:front], np.argsort(d2)[:front], entries)
+            assert got.tolist() == want[:n].tolist()
 
 
 def test_recall_of_few_entries(spark, data):
