@@ -33,8 +33,10 @@ def brute_pairs(rows, least):
     return {p: (c, n[p[0]], n[p[1]], len(sets)) for p, c in pairs.items() if c >= least}
 
 
-@pytest.mark.parametrize("long_basket", [2048, 12])
-def test_pairs(spark, monkeypatch, long_basket):
+@pytest.mark.parametrize(("long_basket", "items", "held"), [(2048, 2_000_000, 12_000_000), (12, 2_000_000, 12_000_000), (2048, 70, 300)])
+def test_pairs(spark, monkeypatch, long_basket, items, held):
+    monkeypatch.setattr(cooccurrence, "BLOCK_ITEMS", items)
+    monkeypatch.setattr(cooccurrence, "HELD", held)
     monkeypatch.setattr(cooccurrence, "LONG_BASKET", long_basket)
     monkeypatch.setattr(cooccurrence, "HEAVY_SHARE", 0.3)
     rnd = random.Random(1)

@@ -25,8 +25,8 @@ from tunefold import shared
 HEAVY_SHARE = 1 / 64
 MAX_HEAVY = 1024
 LONG_BASKET = 2048
-BLOCK = 16_384
-CHUNK = 2_500_000
+BLOCK, BLOCK_ITEMS = 16_384, 2_000_000
+CHUNK, HELD = 2_500_000, 12_000_000
 ITEM_BITS = 22
 PAIR_BITS = 29
 SPACE = " \t\n\x0b\f\r"
@@ -53,14 +53,23 @@ class _Baskets:
         self.dense = np.zeros((len(heavy), len(heavy)), "i8")
 
     def blocks(self, batches: Iterator) -> Iterator:
+        """Blocks of at most about BLOCK baskets and BLOCK_ITEMS items."""
+        import numpy as np
+
         held: list = []
-        rows = 0
+        rows = items = 0
         for b in batches:
-            held.append(b)
-            rows += b.num_rows
-            if rows >= BLOCK:
-                yield self._split(held)
-                held, rows = [], 0
+            offsets = b.column(0).offsets.to_numpy().astype("i8")
+            lo = 0
+            while lo < b.num_rows:
+                hi = int(np.searchsorted(offsets, offsets[lo] + BLOCK_ITEMS - items, "right")) - 1
+                hi = min(max(hi, lo + 1), lo + BLOCK - rows, b.num_rows)
+                held.append(b.slice(lo, hi - lo))
+                rows, items = rows + hi - lo, items + int(offsets[hi] - offsets[lo])
+                lo = hi
+                if rows >= BLOCK or items >= BLOCK_ITEMS or lo < b.num_rows:
+                    yield self._split(held)
+                    held, rows, items = [], 0, 0
         if rows:
             yield self._split(held)
 
@@ -144,32 +153,44 @@ def _unpack(blob: bytes):
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").reshape(-1), dtype="i8")
 
 
+def _width(bits: int, parts: int) -> int:
+    """Slots of a part, whole bytes of the bitmap."""
+    return -(-(1 << bits) // (8 * parts)) * 8
+
+
 def _slots(heavy, frequent: bytes, bits: int, parts: int):
-    """(part, slots, counts) of one partition's pairs: its slots in the range of the part, packed."""
+    """(part, slots, counts) of one partition's pairs: its slots in the range of the part, packed; equal slots of at most
+    about HELD pairs at a time are summed."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import zstandard
 
-        held = _Baskets(heavy, frequent)
-        edges = np.arange(parts + 1) * ((1 << bits) // parts + 1)
-        for block in held.blocks(batches):
-            # all of a block at once, so that equal slots are summed
-            found = [(_mix(a, b) >> np.uint64(64 - bits), n) for a, b, n in held.pairs(*block)]
-            if not found:
-                continue
-            slot = np.concatenate([f[0] for f in found]).astype("i8")
-            n = np.minimum(np.concatenate([f[1] for f in found]), 255)
+        edges = np.arange(parts + 1) * _width(bits, parts)
+
+        def summed(found):
+            slot = np.concatenate([f[0] for f in found])
+            n = np.concatenate([f[1] for f in found])
             order = np.argsort(slot, kind="stable")
             slot, n = slot[order], n[order]
             cut = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
             slot, n = slot[cut], np.minimum(np.add.reduceat(n, cut), 255)
             at = np.searchsorted(slot, edges)
             some = [k for k in range(parts) if at[k] < at[k + 1]]
-            import zstandard
-
             counts = [zstandard.ZstdCompressor(level=1).compress(n[at[k] : at[k + 1]].astype("u1").tobytes()) for k in some]
-            yield pa.record_batch([pa.array(some, pa.int32()), pa.array([_pack(slot[at[k] : at[k + 1]] - edges[k]) for k in some], pa.binary()), pa.array(counts, pa.binary())], names=["part", "slots", "counts"])
+            return pa.record_batch([pa.array(some, pa.int32()), pa.array([_pack(slot[at[k] : at[k + 1]] - edges[k]) for k in some], pa.binary()), pa.array(counts, pa.binary())], names=["part", "slots", "counts"])
+
+        held, found, size = _Baskets(heavy, frequent), [], 0
+        for block in held.blocks(batches):
+            for a, b, n in held.pairs(*block):
+                found.append(((_mix(a, b) >> np.uint64(64 - bits)).astype("i4" if bits < 31 else "i8"), np.minimum(n, 255).astype("i4")))
+                size += len(n)
+                if size >= HELD:
+                    yield summed(found)
+                    found, size = [], 0
+        if found:
+            yield summed(found)
 
     return run
 
@@ -182,8 +203,7 @@ def _reaching(bits: int, parts: int, least: int):
         import pyarrow as pa
         import zstandard
 
-        width = (1 << bits) // parts + 1
-        total, now = np.zeros(width, "u2"), None
+        total, now = np.zeros(_width(bits, parts), "u2"), None
 
         def close():
             some = np.flatnonzero(total >= least)
@@ -209,11 +229,13 @@ def _reached(uri: str, bits: int, parts: int):
     """The bitmap of all slots that reach the least count."""
     import numpy as np
 
-    width = (1 << bits) // parts + 1
-    out = np.zeros((1 << bits) + 8, bool)
+    width = _width(bits, parts)
+    out = np.zeros(width * parts // 8, "u1")
     for row in shared.open_dataset(uri).to_table().to_pylist():
-        out[_unpack(row["slots"]) + row["part"] * width] = True
-    return np.packbits(out)
+        own = np.zeros(width, bool)
+        own[_unpack(row["slots"])] = True
+        out[row["part"] * width // 8 : (row["part"] + 1) * width // 8] = np.packbits(own)
+    return out
 
 
 def _counts(heavy, frequent: bytes, uri: str, bits: int, parts: int):
