@@ -104,3 +104,13 @@ def test_islands(spark):
     rows = spark.createDataFrame([("f", 0, "p1"), ("f", 1, "p2"), ("f", 2, "p1")], "file string, at int, playlist_id string")
     assert P.islands(rows, "file", "at").count() == 3
     assert rows.select("playlist_id").distinct().count() == 2
+
+
+def test_query_vote_keeps_empty_fields_and_line_ends(spark, tmp_path):
+    from tunefold.plans.file_queries import file_query_vote
+
+    rows = [("a", "1:0", "", None), ("", "1:0", "x", ""), ("two\nlines", "1:0", "cr\rx", "\r\n"), (None, "1:0", "x", "y"), ("b", None, "x", "y"), ('"b\\"', "", '"', '""')]
+    spark.createDataFrame(rows, "query string, song_infos string, search_pv string, cnt string").write.parquet(f"{tmp_path}/query_vote.parquet")
+    got = [tuple(r) for r in file_query_vote(spark, str(tmp_path)).collect()]
+    want = [("a", "1:0", "", None), ("", "1:0", "x", ""), ("two\nlines", "1:0", "cr\rx", ""), ('"b\\"', "", '"', '""')]
+    assert sorted(got, key=str) == sorted(want, key=str)

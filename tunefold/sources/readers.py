@@ -9,6 +9,7 @@ from tunefold import schemas
 from tunefold.functions import text as X
 
 ENCODINGS = ("utf-8", "gbk", "gb18030", "utf-8-sig", "latin1")
+NOTHING = "\uffff"  # no character, so no field holds it
 
 
 def _fields(spark: SparkSession, path: str, sep: str) -> DataFrame:
@@ -83,10 +84,11 @@ def votes(spark: SparkSession, path: str) -> DataFrame:
 
 def query_vote(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
     """CSV with a header; the first encoding in which no character is lost is taken. Rows without query or songs are left
-    out. Reading GBK needs Spark's Java charsets, which this switches on for the session."""
+    out; a field without anything is null, a quoted one may be empty or hold line ends. Reading GBK needs Spark's Java charsets, which this
+    switches on for the session."""
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     for e in encodings:
-        rows = spark.read.option("header", True).option("encoding", "utf-8" if e == "utf-8-sig" else e).csv(path)
+        rows = spark.read.option("header", True).option("encoding", "utf-8" if e == "utf-8-sig" else e).option("nullValue", NOTHING).option("emptyValue", "").option("multiLine", True).csv(path)
         cols = {c.strip().lstrip("﻿").lower(): c for c in rows.columns}
         if not {"query", "song_infos"} <= set(cols):
             continue
