@@ -480,3 +480,17 @@ def test_found_columns(spark, data):
         df = queries.QUERIES[name](spark, data)
         assert df.columns == columns
         assert df.count() == df.distinct().count()
+
+
+def test_neighbors_in_many_groups(spark):
+    """Few entries are enough where the codewords are in proportion to the vectors."""
+    g = np.random.default_rng(8)
+    centers = np.repeat(g.normal(size=(700, 96)), 12, axis=0)
+    m = (centers + 0.2 * g.normal(size=centers.shape)).astype("f4")
+    df = spark.createDataFrame([(f"s{i:05d}", v.tolist()) for i, v in enumerate(m)], "song_id string, v array<float>")
+    found = {(r["song_id"], r["neighbor"]) for r in vector_neighbors.neighbors(df, "song_id", "v", 96, 4, entries=16).collect()}
+    u = m.astype("f8") / np.linalg.norm(m.astype("f8"), axis=1, keepdims=True)
+    sims = u @ u.T
+    np.fill_diagonal(sims, -9)
+    hits = sum((f"s{i:05d}", f"s{n:05d}") in found for i, n in enumerate(sims.argmax(1).tolist()))
+    assert hits >= 0.99 * len(m)
