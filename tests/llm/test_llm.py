@@ -494,3 +494,10 @@ def test_neighbors_in_many_groups(spark):
     np.fill_diagonal(sims, -9)
     hits = sum((f"s{i:05d}", f"s{n:05d}") in found for i, n in enumerate(sims.argmax(1).tolist()))
     assert hits >= 0.99 * len(m)
+
+
+def test_transformations_covered_by_all_pieces(spark):
+    """Every one of 300 pieces that a transformation explains counts against a lesser one with 250 of them; one piece of its own keeps a third."""
+    votes = [("a", "utf_8", f"p{i}", True) for i in range(300)] + [("b", "c", f"p{i}", True) for i in range(0, 250)] + [("d", "e", f"p{i}", True) for i in range(100)] + [("d", "e", "own", False), ("f", "g", "one", False)]
+    df = spark.createDataFrame(votes + votes[:50], mojibake.VOTES)
+    assert mojibake._covering(df) == [("a", "utf_8"), ("d", "e")]

@@ -25,14 +25,13 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tunefold import shared
 
 SLOTS = 1 << 20
 KEY_BITS = 1 << 22
-COVER = 200
 ROUNDS = 12
 GAIN, GAIN_UTF8, GAIN_ALONE = 9.0, 1.0, 25.0
 UNUSUAL, UNUSUAL_NARROW = -6.5, -4.5
@@ -799,8 +798,7 @@ def _learn_alone(packed: bytes, learned: list[tuple[str, str]]):
 
 
 def cover(found: list[tuple[str, str, int, set]]) -> list[tuple[str, str]]:
-    """Transformations by support, without those whose pieces others explain already. At most COVER pieces of each of the
-    fixed number of transformations are looked at."""
+    """Transformations by support, without those whose pieces others explain already."""
     kept, seen = [], set()
     for wrong, right, n, some in sorted(found, key=lambda x: (-x[2], x[1] != "utf_8", x[0], x[1])):
         if some - seen:
@@ -810,13 +808,16 @@ def cover(found: list[tuple[str, str, int, set]]) -> list[tuple[str, str]]:
 
 
 def _covering(votes: DataFrame) -> list[tuple[str, str]]:
-    """One piece is enough where its stretch is valid and far more usual, two distinct ones elsewhere."""
+    """One piece is enough where its stretch is valid and far more usual, two distinct ones elsewhere. All pieces count; what
+    reaches the driver are the sets of transformations that have a piece in common, once each and without the pieces."""
     votes = votes.groupBy("wrong", "right", "piece").agg(F.max("sure").alias("sure"))
-    sample = Window.partitionBy("wrong", "right").orderBy(F.xxhash64("piece"), "piece")
-    shown = votes.withColumn("r", F.row_number().over(sample)).groupBy("wrong", "right").agg(
-        F.collect_set(F.when(F.col("r") <= COVER, F.col("piece"))).alias("some"), F.count("*").alias("n"), F.max("sure").alias("sure")
-    )
-    return cover([(r["wrong"], r["right"], r["n"], set(r["some"])) for r in shown.where("sure OR n > 1").collect()])
+    told = votes.groupBy("wrong", "right").agg(F.count("*").alias("n"), F.max("sure").alias("sure")).where("sure OR n > 1").select("wrong", "right", "n")
+    shared_by = votes.join(F.broadcast(told), ["wrong", "right"]).groupBy("piece").agg(F.array_sort(F.collect_set(F.struct("wrong", "right"))).alias("by")).select("by").distinct()
+    pieces: dict[tuple, set] = {}
+    for i, r in enumerate(shared_by.collect()):
+        for t in r["by"]:
+            pieces.setdefault((t["wrong"], t["right"]), set()).add(i)
+    return cover([(r["wrong"], r["right"], r["n"], pieces[r["wrong"], r["right"]]) for r in told.collect()])
 
 
 def usual_pairs(texts: DataFrame) -> bytes:
