@@ -81,3 +81,28 @@ def test_more_queries_than_a_pass_holds(spark, monkeypatch):
     s = m @ m.T
     np.fill_diagonal(s, -9)
     assert got == {rows[i][0]: [rows[j][0] for j in np.argsort(-s[i])[:3]] for i in range(40)}
+
+
+def test_generator_sums_no_pairs_of_prompts_and_ids(spark, monkeypatch):
+    """Ids in several blocks, ties by id, and no join that holds every id for every prompt."""
+    import random
+    from collections import Counter, defaultdict
+
+    monkeypatch.setattr(K, "BLOCK_ROWS", 7, raising=False)
+    g = random.Random(4)
+    corpus = [(" ".join(g.sample("abcdefg", 2)).upper(), [(g.randrange(3), g.randrange(4), g.randrange(-2, 5)) for _ in range(6)]) for _ in range(60)]
+    prompts = [(i, " ".join(g.sample("abcdefgh", g.randrange(1, 4)))) for i in range(30)] + [(30, ""), (31, None), (32, "zz")]
+    counts = defaultdict(Counter)
+    for text, triples in corpus:
+        for w in set(text.lower().split()):
+            counts[w].update(triples)
+    want = set()
+    for key, text in prompts:
+        total = sum((counts[w] for w in set((text or "").split())), Counter())
+        want |= {(key, p, *x) for p, (x, _) in enumerate(sorted(total.items(), key=lambda i: (-i[1], i[0]))[:5])}
+    df = spark.createDataFrame(corpus, "text string, triples array<struct<l1:int,l2:int,l3:int>>")
+    got = K.OverlapGenerator(df).generate(spark.createDataFrame(prompts, "key int, text string"), 5)
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert "sum(n" not in got._jdf.queryExecution().optimizedPlan().toString()
+    none = K.OverlapGenerator(df).generate(spark.createDataFrame([], "key int, text string"), 5)
+    assert none.count() == 0 and none.columns == got.columns

@@ -14,6 +14,7 @@ from tunefold import shared
 from tunefold.operators.ordering import with_position
 
 SPARE = 3
+BLOCK_ROWS = 1_000_000
 
 
 class CandidateGenerator(Protocol):
@@ -120,13 +121,64 @@ class OverlapGenerator:
         self.table = words.where("word <> ''").groupBy("word", "x").agg(F.count("*").alias("n"))
 
     def generate(self, prompts: DataFrame, length: int = 20) -> DataFrame:
-        """The cut comes after the sums over all words of a prompt; prompts with the same words are summed once."""
+        """The cut comes after the sums over all words of a prompt; prompts with the same words are summed once.
+
+        The ids are dealt into blocks; each block sums the counts of its own ids for all prompts and gives its first ones."""
         worded = prompts.select("key", F.array_sort(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("words"))
-        words = worded.select("words").distinct().select("words", F.explode("words").alias("word"))
-        scored = words.join(self.table, "word").groupBy("words", "x").agg(F.sum("n").alias("n"))
-        w = Window.partitionBy("words").orderBy(F.desc("n"), "x")
-        best = scored.withColumn("place", F.row_number().over(w) - 1).where(F.col("place") < length)
-        return worded.join(best, "words").select("key", "place", "x.l1", "x.l2", "x.l3")
+        asked = shared.materialise(worded.select("words").where("words IS NOT NULL").distinct().withColumn("at", F.monotonically_increasing_id()), "asked-words")
+        path = asked.inputFiles()
+        if not path:
+            return prompts.sparkSession.createDataFrame([], prompts.select("key").schema.add("place", "int").add("l1", "int").add("l2", "int").add("l3", "int"))
+        needed = self.table.join(asked.select(F.explode("words").alias("word")).distinct(), "word", "left_semi").select("word", "x.l1", "x.l2", "x.l3", "n")
+        counts = shared.materialise(needed, "word-ids")
+        blocks = max(prompts.sparkSession.sparkContext.defaultParallelism, -(-counts.count() // BLOCK_ROWS))
+        blocked = counts.withColumn("block", F.pmod(F.xxhash64("l1", "l2", "l3"), F.lit(blocks)))
+        near = blocked.groupBy("block").applyInPandas(_best_of_block(path[0].rsplit("/", 1)[0], length), "at long, l1 int, l2 int, l3 int, n long")
+        w = Window.partitionBy("at").orderBy(F.desc("n"), "l1", "l2", "l3")
+        best = near.withColumn("place", F.row_number().over(w) - 1).where(F.col("place") < length)
+        return worded.join(asked, "words").join(best, "at").select("key", "place", "l1", "l2", "l3")
+
+
+def _best_of_block(uri: str, length: int):
+    """Of the ids of one block the first ``length`` for every list of words asked for: an id's counts all stand in one
+    block, so what is first among all is first in its block."""
+
+    def run(t):
+        import numpy as np
+        import pandas as pd
+
+        ids = t[["l1", "l2", "l3"]].to_numpy()
+        order = np.lexsort((ids[:, 2], ids[:, 1], ids[:, 0]))
+        ids, n = ids[order], t["n"].to_numpy()[order]
+        fresh = np.r_[True, (np.diff(ids, axis=0) != 0).any(1)]
+        place, ids = np.cumsum(fresh) - 1, ids[fresh]  # places stand in the order of ids
+        codes, words = pd.factorize(t["word"].to_numpy()[order])
+        by_word = np.argsort(codes, kind="stable")
+        cuts = np.searchsorted(codes[by_word], np.arange(len(words) + 1))
+        held = {w: (place[by_word[lo:hi]], n[by_word[lo:hi]]) for w, lo, hi in zip(words, cuts[:-1].tolist(), cuts[1:].tolist())}
+        out: list[tuple] = []
+        for b in shared.open_dataset(uri).to_batches(columns=["at", "words"]):
+            for at, asked in zip(b.column("at").to_pylist(), b.column("words").to_pylist()):
+                lists = [held[w] for w in asked if w in held]
+                if not lists:
+                    continue
+                if len(lists) == 1:
+                    where, sums = lists[0]
+                else:
+                    total = np.zeros(len(ids), "i8")
+                    for where, more in lists:
+                        total[where] += more
+                    where = np.flatnonzero(total)
+                    sums = total[where]
+                if len(sums) > length:
+                    kept = sums >= np.partition(sums, -length)[-length]
+                    where, sums = where[kept], sums[kept]
+                first = np.lexsort((where, -sums))[:length]
+                out.append((np.full(len(first), at), where[first], sums[first]))
+        ats, where, sums = (np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, "i8"),) * 3
+        return pd.DataFrame({"at": ats, "l1": ids[where, 0], "l2": ids[where, 1], "l3": ids[where, 2], "n": sums})
+
+    return run
 
 
 def rank(candidates: DataFrame, ranker: Ranker, k: int = 10) -> DataFrame:
