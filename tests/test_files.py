@@ -114,3 +114,18 @@ def test_query_vote_keeps_empty_fields_and_line_ends(spark, tmp_path):
     got = [tuple(r) for r in file_query_vote(spark, str(tmp_path)).collect()]
     want = [("a", "1:0", "", None), ("", "1:0", "x", ""), ("two\nlines", "1:0", "cr\rx", ""), ('"b\\"', "", '"', '""')]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_cached_unit_vectors_are_small_and_whole(spark, tmp_path):
+    from tunefold.sources import index_cache
+
+    rows = [("a", [3.0, 4.0]), ("z", [0.0, 0.0]), ("n", None), ("b", [1.0]), ("e", []), ("x", [1.0, None])]
+    df = spark.createDataFrame(rows, "song_id string, v array<float>").coalesce(1)
+    source = write(tmp_path / "source", "x")
+    for fresh in (True, False):
+        got, built = index_cache.unit_vectors(spark, source, df, f"{tmp_path}/cache")
+        assert built == fresh
+        found = {r["song_id"]: r["v"] for r in got.collect()}
+        assert {k: found[k] for k in "aznbe"} == {"a": [0.6, 0.8], "z": [0.0, 0.0], "n": None, "b": [1.0], "e": []} and len(found) == 6
+    kept = spark.read.parquet(*[str(p) for p in (tmp_path / "cache").iterdir()])
+    assert dict(kept.dtypes)["v"] == "array<float>"

@@ -180,9 +180,45 @@ def file_index_cache(s, d):
     """Unit vectors built once and read again."""
     folder = shared.new_path(s, "file-index-cache")
     source = f"{d}/song_vectors.parquet"
-    built = [index_cache.unit_vectors(s, source, _usable(s, d).select("song_id", F.col("v").cast("array<double>").alias("v")), folder) for _ in range(2)]
-    long = F.aggregate(F.transform("v", lambda x: x * x), F.lit(0.0), lambda a, x: a + x)
-    return built[1][0].agg(F.count("*").alias("songs"), F.count_if(F.abs(long - 1) < 1e-6).alias("unit")).select(F.lit(built[0][1]).alias("built"), F.lit(built[1][1]).alias("built_again"), "songs", "unit")
+    own = _one_each(s, d)
+    built = [index_cache.unit_vectors(s, source, own, folder) for _ in range(2)]
+    counts = built[1][0].mapInArrow(_count_units, "songs long, unit long").agg(F.coalesce(F.sum("songs"), F.lit(0)).alias("songs"), F.coalesce(F.sum("unit"), F.lit(0)).alias("unit"))
+    return counts.select(F.lit(built[0][1]).alias("built"), F.lit(built[1][1]).alias("built_again"), "songs", "unit")
+
+
+def _whole_vectors(batches):
+    """Of rows (song_id, v) those with an id and 512 numbers."""
+    import numpy as np
+    import pyarrow as pa
+
+    for b in batches:
+        v = b.column(1)
+        values, ends = v.values, v.offsets.to_numpy()
+        bad = values.is_null().to_numpy(zero_copy_only=False) | np.isnan(values.to_numpy(zero_copy_only=False).astype("f4"))
+        before = np.r_[0, np.cumsum(bad)]
+        good = ~v.is_null().to_numpy(zero_copy_only=False) & (np.diff(ends) == 512) & (before[ends[1:]] == before[ends[:-1]])
+        yield b.filter(pa.array(good))
+
+
+def _one_each(s, d):
+    """Usable vectors, one for each song; only songs with several rows are compared."""
+    v = _t(s, d, "song_vectors").select(X.strip("song_id").alias("song_id"), F.col("v").cast("array<float>").alias("v")).where("song_id <> ''")
+    v = v.mapInArrow(_whole_vectors, "song_id string, v array<float>")
+    v = shared.materialise(v, "whole-vectors")
+    several = v.groupBy("song_id").agg(F.count("*").alias("n")).where("n > 1").select("song_id")
+    return v.join(several, "song_id", "left_anti").unionByName(v.join(several, "song_id", "left_semi").dropDuplicates(["song_id"]))
+
+
+def _count_units(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    for b in batches:
+        v = b.column(1)
+        squares = np.r_[0.0, np.square(v.values.to_numpy(zero_copy_only=False))]
+        at = v.offsets.to_numpy()
+        sums = [float(squares[lo + 1 : hi + 1].sum()) for lo, hi in zip(at[:-1].tolist(), at[1:].tolist())]
+        yield pa.record_batch([pa.array([len(v)], pa.int64()), pa.array([int((np.abs(np.array(sums) - 1) < 1e-6).sum())], pa.int64())], names=["songs", "unit"])
 
 
 QUERIES = {
