@@ -13,6 +13,8 @@ from tunefold.plans.playlist_queries import BASE, _strip, _t, ids, info, matched
 from tunefold.plans.semantic_queries import points
 from tunefold.sources import index_cache, readers, sinks
 
+SEVERAL = 500_000
+
 
 def _lines(df, path: str, *columns: str) -> None:
     df.select(F.concat_ws("\t", *[F.coalesce(c, F.lit("")) for c in columns]).alias("value")).write.text(path)
@@ -205,7 +207,9 @@ def _one_each(s, d):
     v = _t(s, d, "song_vectors").select(X.strip("song_id").alias("song_id"), F.col("v").cast("array<float>").alias("v")).where("song_id <> ''")
     v = v.mapInArrow(_whole_vectors, "song_id string, v array<float>")
     v = shared.materialise(v, "whole-vectors")
-    several = v.groupBy("song_id").agg(F.count("*").alias("n")).where("n > 1").select("song_id")
+    several = shared.materialise(v.groupBy("song_id").agg(F.count("*").alias("n")).where("n > 1").select("song_id"), "repeated-songs")
+    if several.count() <= SEVERAL:  # then the vectors of all other songs stay where they are
+        several = F.broadcast(several)
     return v.join(several, "song_id", "left_anti").unionByName(v.join(several, "song_id", "left_semi").dropDuplicates(["song_id"]))
 
 
