@@ -106,3 +106,56 @@ def test_generator_sums_no_pairs_of_prompts_and_ids(spark, monkeypatch):
     assert "sum(n" not in got._jdf.queryExecution().optimizedPlan().toString()
     none = K.OverlapGenerator(df).generate(spark.createDataFrame([], "key int, text string"), 5)
     assert none.count() == 0 and none.columns == got.columns
+
+
+def test_pair_ranker_equals_the_fit_over_rows(spark, monkeypatch):
+    """Pairs in many blocks and pieces give the scores that MLlib gives over a row for each pair."""
+    import random
+
+    from tunefold.operators import pair_ranker as R
+
+    for name, x in (("BLOCK_VECTORS", 9), ("PIECE_PAIRS", 30), ("CHUNK_SONGS", 40), ("KEPT_SONGS", 20)):
+        monkeypatch.setattr(R, name, x)
+    g = random.Random(5)
+    songs = [f"s{'x' * (i % 40)}{i}" for i in range(60)]
+    lists = {f"p{i}": g.sample(songs, g.randrange(1, 15)) for i in range(30)} | {"all": songs, "hot": [songs[0], songs[1]], "untitled": songs[:9]}
+    rows = spark.createDataFrame([(p, s) for p, x in lists.items() for s in x for _ in range(g.randrange(1, 3))], "playlist_id string, song_id string").repartition(3)
+    titles = {p: g.choice(["Red jazz", "blue  blue red", " jazz", "电子 Лучший", f"only {p}"]) for p in lists} | {"untitled": ""}
+    info = spark.createDataFrame([*titles.items(), ("gone", "no songs")], "glid string, listname string")
+    ids = spark.createDataFrame([(s, i % 3, i % 4, 0 if i % 2 else i) for i, s in enumerate(songs[:50])], "song_id string, l1 int, l2 int, l3 int")
+    vectors = spark.createDataFrame([(s, [g.choice([-1.0, 0.25, 0.5]) + (d == 1) * len(s) for d in range(4)]) for s in songs[5:] + ["other"]], "song_id string, v array<float>")
+    vectors = vectors.unionByName(vectors.where("song_id = 'other'"))
+    for n in (1, 2):
+        p = K.with_vectors(K.pairs(rows, info, ids, n), vectors.distinct().withColumn("v", F.col("v").cast("array<double>")), 4)
+        p = p.withColumn("part", F.pmod(F.xxhash64("playlist_id", "song_id", "label"), F.lit(3))).localCheckpoint()
+        want = K.LogisticRanker(16).fit(p.where("part > 0")).score(p.where("part = 0")).select("score", "label").collect()
+        ranker = R.PairRanker(rows, info, ids, vectors, 4, n, 16, 3).fit()
+        assert len(ranker.pieces) > len(set(ranker.pieces)) > 3
+        got = ranker.held_out().collect()
+        assert len(got) == len(want) > 100
+        for label in (0, 1):
+            a, b = (sorted(r["score"] for r in x if r["label"] == label) for x in (got, want))
+            assert len(a) == len(b) and max(abs(x - y) for x, y in zip(a, b)) < 1e-6
+
+
+def test_pair_ranker_without_ids_or_vectors(spark):
+    from tunefold.operators.evaluation import binary_metrics
+    from tunefold.operators.pair_ranker import PairRanker
+
+    rows = spark.createDataFrame([("p", f"s{i}") for i in range(50)], "playlist_id string, song_id string")
+    info = spark.createDataFrame([("p", "title")], "glid string, listname string")
+    ids = spark.createDataFrame([], "song_id string, l1 int, l2 int, l3 int")
+    vectors = spark.createDataFrame([], "song_id string, v array<float>")
+    got = PairRanker(rows, info, ids, vectors, 4).fit().held_out()
+    assert got.where("label = 1").count() == got.count() == rows.where(F.pmod(F.xxhash64("playlist_id", "song_id", F.lit(1)), F.lit(10)) == 0).count() > 0
+    none = PairRanker(rows.limit(0), info, ids, vectors, 4).fit().held_out()
+    assert binary_metrics(none).first()["f1"] == 0
+
+
+def test_ranker_metrics_joins_no_vector_to_each_pair(spark, data, monkeypatch):
+    from tunefold.plans import model_queries as M
+
+    monkeypatch.setattr(K, "with_vectors", None)
+    monkeypatch.setattr(K, "pairs", None)
+    got = M.ranker_metrics(spark, data).first()
+    assert all(0 < got[c] < 1 for c in ("accuracy", "precision", "recall", "f1"))
