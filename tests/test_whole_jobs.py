@@ -114,7 +114,7 @@ def test_pair_ranker_equals_the_fit_over_rows(spark, monkeypatch):
 
     from tunefold.operators import pair_ranker as R
 
-    for name, x in (("BLOCK_VECTORS", 9), ("PIECE_PAIRS", 30), ("CHUNK_SONGS", 40), ("KEPT_SONGS", 20)):
+    for name, x in (("BLOCK_VECTORS", 9), ("PIECE_PAIRS", 30), ("CHUNK_SONGS", 40), ("KEPT_SONGS", 20), ("SLICE_LISTS", 3)):
         monkeypatch.setattr(R, name, x)
     g = random.Random(5)
     songs = [f"s{'x' * (i % 40)}{i}" for i in range(60)]

@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 from tunefold import shared
 
 BLOCK_VECTORS = 8_192
-PIECE_PAIRS = 2_000_000
-CHUNK_SONGS = 500_000
+PIECE_PAIRS = 1_000_000
+CHUNK_SONGS = 50_000
+SLICE_LISTS = 1_000
 KEPT_SONGS = 2_000_000
+SPARING = {"batch_readahead": 1, "fragment_readahead": 1, "use_threads": False}
 UNIT = "block int, train long, n long, song array<int>, text array<int>, label array<tinyint>, ends array<int>, word array<int>, times array<int>"
 
 
@@ -32,13 +34,14 @@ class PairRanker:
         """One of ``parts`` pairs, by hash of playlist, song and label, is held out. ``ids`` has one id a song; a song without a
         vector counts as zeros, and of several vectors the smallest one is taken."""
         self.spark, self.dim, self.features = rows.sparkSession, dim, features
-        held, blocks = _vector_blocks(vectors)
-        self.vectors = held.inputFiles()[0].rsplit("/block=", 1)[0] if blocks else ""
-        songs, total = _song_table(ids, held if blocks else None)
+        vectors = vectors.where("song_id IS NOT NULL").select("song_id", F.col("v").cast("array<float>").alias("v"))
+        blocks = -(-vectors.count() // BLOCK_VECTORS)
+        songs, total = _song_table(ids, _numbered(vectors.select("song_id").distinct(), max(1, blocks)))
         lists = _titled_lists(rows, info, features)
         uri = songs.inputFiles()[0].rsplit("/", 1)[0] if total or blocks else ""
         units = shared.materialise(lists.mapInArrow(_drawn(uri, total, max(1, blocks), n, parts), UNIT).withColumn("unit", F.monotonically_increasing_id()), "pair-units")
         self.pieces, self.units = _pieces(units)
+        self.vectors = _vector_blocks(vectors, blocks) if blocks else ""
 
     def _each_piece(self, task: Callable, schema: str) -> DataFrame:
         """One row or more of each piece: ``task(vectors, units)``."""
@@ -87,21 +90,21 @@ class PairRanker:
         return self._each_piece(_scores(self.features, self.coefficients, self.intercept), "score double, label int")
 
 
-def _vector_blocks(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """(song_id, v, local, block): one vector of each song, numbered from 1 in its block."""
-    vectors = vectors.where("song_id IS NOT NULL")
-    count = vectors.count()
-    blocks = -(-count // BLOCK_VECTORS)
-    if not blocks:
-        return vectors, 0
-    placed = vectors.select("song_id", F.col("v").cast("array<float>").alias("v"), F.pmod(F.xxhash64("song_id"), F.lit(blocks)).cast("int").alias("block")).repartition(blocks, "block")
+def _numbered(songs: DataFrame, blocks: int) -> DataFrame:
+    """Adds ``block``, and ``local``: the place of a song in its block, from 1."""
+    dealt = songs.withColumn("block", F.pmod(F.xxhash64("song_id"), F.lit(blocks)).cast("int"))
+    return dealt.withColumn("local", F.row_number().over(Window.partitionBy("block").orderBy("song_id")))
+
+
+def _vector_blocks(vectors: DataFrame, blocks: int) -> str:
+    """The folder of (block, local, v): one vector of each song, under the same number as in the table of songs."""
+    placed = vectors.withColumn("block", F.pmod(F.xxhash64("song_id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
     one = placed.withColumn("__r", F.row_number().over(Window.partitionBy("block", "song_id").orderBy("v"))).where("__r = 1").drop("__r")
-    numbered = one.withColumn("local", F.row_number().over(Window.partitionBy("block").orderBy("song_id")))
-    return shared.materialise(numbered.select("song_id", "local", "v", "block"), "ranker-vectors", "block"), blocks
+    return shared.write_table(_numbered(one, blocks).select("local", "v", "block"), "ranker-vectors", "block")
 
 
-def _song_table(ids: DataFrame, held: DataFrame | None) -> tuple[DataFrame, int]:
-    """(song_id, at, shared, block, local): the place of a song with an id in the seeded order, the first place of its id if
+def _song_table(ids: DataFrame, numbered: DataFrame) -> tuple[DataFrame, int]:
+    """(song_id, hash, at, shared, block, local): the place of a song with an id in the seeded order, the first place of its id if
     others have it too, and its vector; -1 where there is none."""
     from tunefold.operators.ordering import with_position
 
@@ -109,11 +112,8 @@ def _song_table(ids: DataFrame, held: DataFrame | None) -> tuple[DataFrame, int]
     total = placed.count()
     same = placed.groupBy("l1", "l2", "l3").agg(F.count("*").alias("m"), F.min("at").alias("first")).where("m > 1")
     known = placed.join(same, ["l1", "l2", "l3"], "left").select("song_id", "at", F.col("first").alias("shared"))
-    if held is None:
-        whole = known.withColumn("block", F.lit(-1)).withColumn("local", F.lit(0))
-    else:
-        whole = known.join(held.select("song_id", "block", "local"), "song_id", "full")
-    return shared.materialise(whole.select("song_id", *[F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("at", "shared", "block")], F.coalesce("local", F.lit(0)).cast("long").alias("local")), "ranker-songs"), total
+    whole = known.join(numbered, "song_id", "full")
+    return shared.materialise(whole.select("song_id", F.xxhash64("song_id").alias("hash"), *[F.coalesce(c, F.lit(-1)).cast("int").alias(c) for c in ("at", "shared", "block")], F.coalesce("local", F.lit(0)).alias("local")), "ranker-songs"), total
 
 
 def _titled_lists(rows: DataFrame, info: DataFrame, features: int) -> DataFrame:
@@ -148,20 +148,26 @@ def _block(uri: str, block: int, dim: int):
     if source is None:
         return np.zeros((1, dim), "f4")
     out = np.zeros((source.count_rows() + 1, dim), "f4")
-    for b in source.to_batches(columns=["local", "v"], batch_size=4096):
+    for b in source.to_batches(columns=["local", "v"], batch_size=2048, **SPARING):
         out[b.column("local").to_numpy()] = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
     return out
 
 
 def _units(uri: str) -> Iterator[dict]:
+    """The units of a piece, some together: those that train first, then those held out; ``title`` is the title of each word."""
     import numpy as np
 
     source = shared.open_dataset(uri)
-    for b in source.to_batches(batch_size=1) if source else ():
-        for i in range(b.num_rows):
-            u = {c: b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("song", "text", "label", "ends", "word", "times")}
-            u["title"] = np.repeat(np.arange(len(u["ends"])), np.diff(u["ends"], prepend=0))
-            yield u | {"train": b.column("train")[i].as_py()}
+    for b in source.to_batches(batch_size=256, **SPARING) if source else ():
+        u = {c: b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("song", "text", "label", "ends", "word", "times")}
+        pairs, titles, trained = b.column("n").to_numpy(), b.column("ends").value_lengths().to_numpy(), b.column("train").to_numpy()
+        before = np.cumsum(titles) - titles
+        text = u["text"] + np.repeat(before, pairs)
+        train = np.arange(len(text)) - np.repeat(np.cumsum(pairs) - pairs, pairs) < np.repeat(trained, pairs)
+        each = np.diff(u["ends"], prepend=0)
+        each[before] = u["ends"][before]  # ends begin anew in each unit
+        order = np.r_[np.flatnonzero(train), np.flatnonzero(~train)]
+        yield {"song": u["song"][order], "text": text[order], "label": u["label"][order], "title": np.repeat(np.arange(len(each)), each), "word": u["word"], "times": u["times"], "titles": len(each), "train": int(train.sum())}
 
 
 def _times(vectors, x):
@@ -196,7 +202,7 @@ def _moments(features: int) -> Callable:
             t = u["train"]
             n, ones = n + t, ones + int(u["label"][:t].sum())
             by_song += np.bincount(u["song"][:t], minlength=len(vectors))
-            each = np.bincount(u["text"][:t], minlength=len(u["ends"]))[u["title"]].astype("f8") * u["times"]
+            each = np.bincount(u["text"][:t], minlength=u["titles"])[u["title"]].astype("f8") * u["times"]
             words += np.bincount(u["word"], each, features)
             squares += np.bincount(u["word"], each * u["times"], features)
         more = sum((by_song[i : i + 2048] @ np.square(vectors[i : i + 2048].astype("f8")) for i in range(0, len(vectors), 2048)), np.zeros(vectors.shape[1]))
@@ -208,7 +214,7 @@ def _moments(features: int) -> Callable:
 def _margins(u: dict, by_song, weights, intercept: float, part: slice):
     import numpy as np
 
-    by_text = np.bincount(u["title"], weights[u["word"]] * u["times"], len(u["ends"]))
+    by_text = np.bincount(u["title"], weights[u["word"]] * u["times"], u["titles"])
     return by_song[u["song"][part]] + by_text[u["text"][part]] + intercept
 
 
@@ -229,7 +235,7 @@ def _residuals(features: int, coefficients, intercept: float) -> Callable:
             r = np.where(m >= 0, 1.0, e) / (1 + e) - y
             total += float(r.sum())
             by_song += np.bincount(u["song"][part], r, len(vectors))
-            words += np.bincount(u["word"], np.bincount(u["text"][part], r, len(u["ends"]))[u["title"]] * u["times"], features)
+            words += np.bincount(u["word"], np.bincount(u["text"][part], r, u["titles"])[u["title"]] * u["times"], features)
         return _result(total, loss, words, _weighted(by_song, vectors), np.zeros(features + vectors.shape[1]))
 
     return task
@@ -328,12 +334,12 @@ def _step(f: Callable, x, value: float, grad, d, t: float):
 
 def _drawn(uri: str, total: int, blocks: int, n: int, parts: int) -> Callable:
     """All pairs of the playlists given, as units of one block each."""
-    chunk, most = CHUNK_SONGS, KEPT_SONGS
+    chunk, most, few = CHUNK_SONGS, KEPT_SONGS, SLICE_LISTS
 
     def run(batches: Iterator) -> Iterator:
         table = _SongTable(uri, most)
         kept, songs = [], 0
-        for b in batches:
+        for b in (b.slice(i, few) for b in batches for i in range(0, b.num_rows, few)):
             kept.append(b)
             songs += len(b.column(b.schema.get_field_index("songs")).flatten())
             if songs >= chunk:
@@ -345,28 +351,53 @@ def _drawn(uri: str, total: int, blocks: int, n: int, parts: int) -> Callable:
     return run
 
 
+class _Part:
+    """Some rows of the table of songs, with their order by hash and by place."""
+
+    def __init__(self, b) -> None:
+        import numpy as np
+
+        self.names = b.column("song_id")
+        self.at, self.shared, hashes = (b.column(c).to_numpy() for c in ("at", "shared", "hash"))
+        self.spot = np.c_[b.column("block").to_numpy(), b.column("local").to_numpy()].astype("i4")
+        self.by_hash, self.by_at = np.argsort(hashes).astype("i4"), np.argsort(self.at).astype("i4")
+        self.hashes, self.places = hashes[self.by_hash], self.at[self.by_at]
+        self.near = np.flatnonzero(self.shared >= 0)
+
+
 class _SongTable:
     """The table of songs, read part by part; kept if it is small."""
 
     def __init__(self, uri: str, most: int) -> None:
         self.source = shared.open_dataset(uri) if uri else None
-        self.kept = list(self.source.to_batches(batch_size=1 << 20)) if self.source and self.source.count_rows() <= most else None
+        self.kept = list(self._parts()) if self.source and self.source.count_rows() <= most else None
 
-    def __iter__(self) -> Iterator:
-        return iter(self.kept if self.kept is not None else self.source.to_batches(batch_size=1 << 20) if self.source else ())
+    def _parts(self) -> Iterator[_Part]:
+        return (_Part(b) for b in self.source.to_batches(batch_size=1 << 18, **SPARING) if b.num_rows) if self.source else iter(())
+
+    def __iter__(self) -> Iterator[_Part]:
+        return self._parts() if self.kept is None else iter(self.kept)
 
     def find(self, names):
-        """at, shared, block and local of each name."""
+        """at, shared, block and local of each name; names that share a hash are told apart."""
         import numpy as np
+        import pyarrow as pa
         import pyarrow.compute as pc
 
         out = np.full((len(names), 4), -1, "i8")
         out[:, 3] = 0
-        for b in self:
-            where = pc.index_in(names, value_set=b.column("song_id")).fill_null(-1).to_numpy(zero_copy_only=False)
-            hit = np.flatnonzero(where >= 0)
-            for k, c in enumerate(("at", "shared", "block", "local")):
-                out[hit, k] = b.column(c).to_numpy()[where[hit]]
+        hashes = xxhash64(names, None, np.full(len(names), 42, "u8")).view("i8")
+        for p in self:
+            left, where = np.arange(len(names)), np.searchsorted(p.hashes, hashes)
+            while len(left):
+                hit = p.hashes[np.minimum(where, len(p.hashes) - 1)] == hashes[left]
+                hit &= where < len(p.hashes)
+                left, where = left[hit], where[hit]
+                row = p.by_hash[where]
+                same = pc.equal(names.take(pa.array(left)), p.names.take(pa.array(row))).to_numpy(zero_copy_only=False)
+                found, row = left[same], row[same]
+                out[found, 0], out[found, 1], out[found, 2:] = p.at[row], p.shared[row], p.spot[row]
+                left, where = left[~same], where[~same] + 1
         return out
 
     def at(self, places):
@@ -375,15 +406,15 @@ class _SongTable:
         import pyarrow as pa
 
         names, who, spot = [], [], []
-        for b in self:
-            at = b.column("at").to_numpy()
-            where = np.searchsorted(places, at)
-            hit = np.flatnonzero((at >= 0) & (places[np.minimum(where, len(places) - 1)] == at)) if len(places) else np.empty(0, "i8")
-            who.append(where[hit])
-            spot.append(np.c_[b.column("block").to_numpy()[hit], b.column("local").to_numpy()[hit]])
-            names.append(b.column("song_id").take(pa.array(hit)))
+        for p in self:
+            where = np.minimum(np.searchsorted(p.places, places), len(p.places) - 1)
+            hit = np.flatnonzero(p.places[where] == places)
+            row = p.by_at[where[hit]]
+            who.append(hit)
+            spot.append(p.spot[row])
+            names.append(p.names.take(pa.array(row)))
         if not names:
-            return pa.array([], pa.string()), np.empty((0, 2), "i8")
+            return pa.array([], pa.string()), np.empty((0, 2), "i4")
         order = np.argsort(np.concatenate(who))
         return pa.concat_arrays(names).take(pa.array(order)), np.concatenate(spot)[order]
 
@@ -393,10 +424,9 @@ class _SongTable:
         import pyarrow as pa
 
         out: dict[int, list[tuple[str, int]]] = {}
-        for b in self if len(wanted) else ():
-            same = b.column("shared").to_numpy()
-            hit = np.flatnonzero(np.isin(same, wanted))
-            for g, s, at in zip(same[hit].tolist(), b.column("song_id").take(pa.array(hit)).to_pylist(), b.column("at").to_numpy()[hit].tolist()):
+        for p in self if len(wanted) else ():
+            hit = p.near[np.isin(p.shared[p.near], wanted)]
+            for g, s, at in zip(p.shared[hit].tolist(), p.names.take(pa.array(hit)).to_pylist(), p.at[hit].tolist()):
                 out.setdefault(g, []).append((s, at))
         return out
 
@@ -459,16 +489,25 @@ def _pairs_of(batches: list, table: _SongTable, total: int, blocks: int, n: int,
     title = titles[owners]
     order = np.lexsort((title, local, test, block))
     block, local, test, label, title = (x[order] for x in (block, local, test, label, title))
-    words, times = t["word"].combine_chunks(), t["times"].combine_chunks()
+    if not len(order):
+        return
     cuts = np.flatnonzero(np.diff(block, prepend=-1, append=-1))
-    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        used, text = np.unique(title[lo:hi], return_inverse=True)
-        rows = pa.array(one[used])
-        w = words.take(rows)
-        unit = (int(block[lo]), int((~test[lo:hi]).sum()), hi - lo, local[lo:hi], text, label[lo:hi], np.cumsum(w.value_lengths().to_numpy()), w.flatten().to_numpy(), times.take(rows).flatten().to_numpy())
-        kinds = (pa.int32(), pa.int64(), pa.int64(), *(pa.list_(pa.int8() if i == 2 else pa.int32()) for i in range(6)))
-        one_list = lambda x, k: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x.astype(k.value_type.to_pandas_dtype())))
-        yield pa.RecordBatch.from_arrays([one_list(x, k) if pa.types.is_list(k) else pa.array([x], k) for x, k in zip(unit, kinds)], ["block", "train", "n", "song", "text", "label", "ends", "word", "times"])
+    unit, count = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)), len(one)
+    used, text = np.unique(unit * count + title, return_inverse=True)  # the titles of each unit, in a row
+    first = np.searchsorted(used, np.arange(len(cuts)) * count)
+    rows = pa.array(one[used % count])
+    word, times = (t[c].combine_chunks().take(rows) for c in ("word", "times"))
+    ends = np.cumsum(word.value_lengths().to_numpy(), dtype="i8")
+    before = np.r_[0, ends][first]
+    lists_of = lambda at, x, kind: pa.ListArray.from_arrays(pa.array(at.astype("i4")), x if isinstance(x, pa.Array) else pa.array(x, kind))
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(block[cuts[:-1]], pa.int32()), pa.array(np.bincount(unit, ~test).astype("i8")), pa.array(np.diff(cuts), pa.int64()),
+            lists_of(cuts, local, pa.int32()), lists_of(cuts, text - first[unit], pa.int32()), lists_of(cuts, label, pa.int8()),
+            lists_of(first, ends - np.repeat(before[:-1], np.diff(first)), pa.int32()), lists_of(before, word.flatten(), pa.int32()), lists_of(before, times.flatten(), pa.int32()),
+        ],
+        ["block", "train", "n", "song", "text", "label", "ends", "word", "times"],
+    )
 
 
 _P1, _P2, _P3, _P4, _P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
