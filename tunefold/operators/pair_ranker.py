@@ -24,7 +24,7 @@ CHUNK_SONGS = 50_000
 SLICE_LISTS = 1_000
 KEPT_SONGS = 2_000_000
 SPARING = {"batch_readahead": 1, "fragment_readahead": 1, "use_threads": False}
-UNIT = "block int, train long, n long, song array<int>, text array<int>, label array<tinyint>, ends array<int>, word array<int>, times array<int>"
+UNIT = "block int, train long, n long, song array<smallint>, text array<int>, label array<tinyint>, ends array<int>, word array<smallint>, times array<int>"
 
 
 class PairRanker:
@@ -33,14 +33,17 @@ class PairRanker:
     def __init__(self, rows: DataFrame, info: DataFrame, ids: DataFrame, vectors: DataFrame, dim: int, n: int = 1, features: int = 1 << 12, parts: int = 10) -> None:
         """One of ``parts`` pairs, by hash of playlist, song and label, is held out. ``ids`` has one id a song; a song without a
         vector counts as zeros, and of several vectors the smallest one is taken."""
+        if features > 1 << 15:
+            raise ValueError("words are numbered in 16 bits")
         self.spark, self.dim, self.features = rows.sparkSession, dim, features
         vectors = vectors.where("song_id IS NOT NULL").select("song_id", F.col("v").cast("array<float>").alias("v"))
         blocks = -(-vectors.count() // BLOCK_VECTORS)
         songs, total = _song_table(ids, _numbered(vectors.select("song_id").distinct(), max(1, blocks)))
         lists = _titled_lists(rows, info, features)
         uri = songs.inputFiles()[0].rsplit("/", 1)[0] if total or blocks else ""
-        units = shared.materialise(lists.mapInArrow(_drawn(uri, total, max(1, blocks), n, parts), UNIT).withColumn("unit", F.monotonically_increasing_id()), "pair-units")
-        self.pieces, self.units = _pieces(units)
+        units = shared.write_table(lists.mapInArrow(_drawn(uri, total, max(1, blocks), n, parts), UNIT).withColumn("unit", F.monotonically_increasing_id()), "pair-units")
+        self.pieces, self.units = _pieces(self.spark.read.parquet(units))
+        shared.remove(self.spark, units)
         self.vectors = _vector_blocks(vectors, blocks) if blocks else ""
 
     def _each_piece(self, task: Callable, schema: str) -> DataFrame:
@@ -503,8 +506,8 @@ def _pairs_of(batches: list, table: _SongTable, total: int, blocks: int, n: int,
     yield pa.RecordBatch.from_arrays(
         [
             pa.array(block[cuts[:-1]], pa.int32()), pa.array(np.bincount(unit, ~test).astype("i8")), pa.array(np.diff(cuts), pa.int64()),
-            lists_of(cuts, local, pa.int32()), lists_of(cuts, text - first[unit], pa.int32()), lists_of(cuts, label, pa.int8()),
-            lists_of(first, ends - np.repeat(before[:-1], np.diff(first)), pa.int32()), lists_of(before, word.flatten(), pa.int32()), lists_of(before, times.flatten(), pa.int32()),
+            lists_of(cuts, local, pa.int16()), lists_of(cuts, text - first[unit], pa.int32()), lists_of(cuts, label, pa.int8()),
+            lists_of(first, ends - np.repeat(before[:-1], np.diff(first)), pa.int32()), lists_of(before, word.flatten().cast(pa.int16()), pa.int16()), lists_of(before, times.flatten(), pa.int32()),
         ],
         ["block", "train", "n", "song", "text", "label", "ends", "word", "times"],
     )
